@@ -8,23 +8,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotlens.llm import quality_rules
+from lotlens.llm import decontaminate, jaccard_join, pieces, quality_rules, suffix_dedup
+from lotlens.llm.cluster import cut
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, boilerplate lines are removed from the others."""
+    """Rejected documents go; boilerplate lines leave the others."""
     return quality_rules.clean(docs)
 
 
-STAGES = [("quality rules", rules_stage)]
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest doc_id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that also start elsewhere go."""
+    return suffix_dedup.clean(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of the benchmark go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become pieces, with a flag that they decode to the text."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality rules", rules_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("suffix-array dedup", suffix_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("SentencePiece encoding", pieces_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; between two stages the rows are cut in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut(docs) if k else docs, sf_dir)
     return docs
 
 
-#: Near-duplicate groups and suffix sorting are not expressible in SQL.
+#: Near-duplicate groups, suffix sorting and keyed merging are not expressible in SQL.
 ORACLE_SQL = None
