@@ -1,0 +1,6 @@
+"""All queries over the star-schema tables; importing the package registers them."""
+
+from . import grading, market
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "grading", "market"]

@@ -17,6 +17,7 @@ def get_spark(app: str = "lotlens", cores: str | int = "*", shuffle: int = 8) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LOTLENS_DRIVER_MEMORY", "6g"))
         .getOrCreate()
     )
