@@ -117,7 +117,10 @@ def grid_rates(sample: DataFrame, kind: str, scores: Mapping[str, Sequence[float
     Each row is binned to its grid index once; counts per cell are then accumulated
     from above, so the grid never multiplies the rows.
     """
-    cells = sample.select(kind, *[F.size(F.filter(F.array(*[F.lit(float(b)) for b in bars]), lambda b, s=s: b <= F.col(s))).alias(s) for s, bars in scores.items()])
+    def place(s: str) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(float(b)) for b in scores[s]]), lambda b: b <= F.col(s))).alias(s)
+
+    cells = sample.select(kind, *[place(s) for s in scores])
     counts = cells.groupBy(kind, *scores).agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy(kind).agg(F.sum("n").alias("total"))
     grid = counts.select(kind).distinct()
