@@ -181,7 +181,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     mid = p + z * z / (2 * m)
     half = z * F.sqrt(F.greatest(p * (1 - p) / m + z * z / (4 * m * m), F.lit(0.0)))
     scale = 1 + z * z / m
-    return F.greatest((mid - half) / scale, F.lit(0.0)), F.least((mid + half) / scale, F.lit(1.0))
+    some = m.isNotNull()
+    return F.when(some, F.greatest((mid - half) / scale, F.lit(0.0))), F.when(some, F.least((mid + half) / scale, F.lit(1.0)))
 
 
 def slice_size(n: Column, share: float) -> Column:
