@@ -11,7 +11,7 @@ Bands: 10 of 3 minima, tuned for recall: a pair at 0.8 exactly misses all of
 them with probability 8e-4, one at 0.9 with 2e-6.
 
 Defined results: a null or empty text has no paragraphs; rows with equal ids
-and texts are one document; a null doc_id comes first; an empty table gives an
+and texts count as one document and get equal rows; a null doc_id comes first; an empty table gives an
 empty result; other columns are ignored by ``measure`` and kept by ``clean``.
 """
 
