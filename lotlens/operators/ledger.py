@@ -129,3 +129,29 @@ def outcomes(verdicts: DataFrame, grades: DataFrame, key: Sequence[str], kinds:
     every = verdicts.sparkSession.createDataFrame([(k,) for k in kinds], f"{verdict} string")
     out = every.join(n, verdict, "left")
     return out.select(verdict, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("picks", "graded")], "lonely_rate", F.coalesce("own_wins", F.lit(0)).alias("own_wins"))
+
+
+def backlog(picks: DataFrame, judged: DataFrame, key: Sequence[str], profiles: DataFrame, vectors: DataFrame, company: str, lot: str) -> DataFrame:
+    """Picks not judged yet, with why they cannot be: no_profile, not_in_sidecar, else NULL."""
+    open_ = picks.join(judged.select(*key), list(key), "left_anti")
+    p, v = profiles.select(company).distinct().withColumn("__p", F.lit(True)), vectors.select(lot).distinct().withColumn("__v", F.lit(True))
+    out = open_.join(p, company, "left").join(v, lot, "left")
+    return out.withColumn("bucket", F.when(F.col("__p").isNull(), "no_profile").when(F.col("__v").isNull(), "not_in_sidecar")).drop("__p", "__v")
+
+
+def widened(requested: str, last_success: str | None) -> str:
+    """The earlier of the requested start and the last success."""
+    return min(requested, last_success) if last_success else requested
+
+
+def shadow_models(registered: DataFrame, delivering: DataFrame, model: str = "model") -> DataFrame:
+    """Models that never delivered."""
+    return registered.join(delivering.select(model), model, "left_anti")
+
+
+def verified(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that either side lacks, with how often."""
+    rows = a.columns
+    left = a.exceptAll(b).withColumn("side", F.lit("only_first"))
+    right = b.select(*rows).exceptAll(a).withColumn("side", F.lit("only_second"))
+    return left.union(right).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))

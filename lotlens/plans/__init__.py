@@ -1,6 +1,6 @@
 """All queries over the star-schema tables; importing the package registers them."""
 
-from . import grading, language, market
+from . import firms, grading, language, market
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "grading", "language", "market"]
+__all__ = ["QUERIES", "SQL", "firms", "grading", "language", "market"]

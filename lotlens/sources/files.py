@@ -109,3 +109,22 @@ def outcome_report(attempts: DataFrame, by: str, outcome: str, at: str) -> DataF
 def shared_rows(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
     """H1."""
     return a.select(*cols).intersect(b.select(*cols))
+
+
+def split_ranges(total: int, count, first: int, last: int, most: int) -> list[tuple[int, int]]:
+    """Halves a range until each part holds at most ``most`` and the parts add up to the total.
+
+    ``count(first, last)`` tells how many there are; a part of one step is kept as it is.
+    """
+    if first == last or total <= most:
+        return [(first, last)]
+    mid = (first + last) // 2
+    a, b = count(first, mid), count(mid + 1, last)
+    if a + b != total:
+        raise ValueError(f"{first}..{last}: {a} + {b} is not {total}")
+    return split_ranges(a, count, first, mid, most) + split_ranges(b, count, mid + 1, last, most)
+
+
+def trimmed(doc: Column, languages: Sequence[str]) -> Column:
+    """The first wanted language of a map of text lists, repeated texts dropped."""
+    return F.array_distinct(F.coalesce(*[F.try_element_at(doc, F.lit(x)) for x in languages], F.try_element_at(F.map_values(doc), F.lit(1))))
