@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,17 @@ def get_spark(app: str = "lotlens", cores: str | int = "*", shuffle: int = 8) ->
         .config("spark.driver.memory", os.environ.get("LOTLENS_DRIVER_MEMORY", "6g"))
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to Python workers that would not find it on their path; once per session."""
+    root = Path(__file__).resolve().parent.parent
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in paths) or "lotlens.zip" in " ".join(context._python_includes):
+        return
+    target = os.path.join(tempfile.mkdtemp(), "lotlens.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "lotlens").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(target)
