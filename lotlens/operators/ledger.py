@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ..lineage import cut
+
 
 class Ledger:
     """K1, K2, K7, K8: rows are only ever appended; a row whose natural key is known is ignored.
@@ -59,9 +61,10 @@ def append_rows(held: DataFrame, rows: DataFrame, key: Sequence[str], order: Seq
 def numbered(rows: DataFrame, after: int, order: Sequence[str]) -> DataFrame:
     """Consecutive seq numbers in ``order``: a range-partitioned sort, offsets of the partitions, then places within them.
 
-    No task sees all rows; only one count per partition is collected.
+    No task sees all rows. The ranges are cut first, since sampling their bounds
+    twice could give two different ones.
     """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    parts = cut(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.withColumn("__o", F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)))
     placed = parts.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
