@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from ..lineage import cut
 
+__all__ = ["bounded", "cut"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the folder in spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests on one machine) a folder is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lotlens-"))
-    return df.checkpoint(eager=True)
-
-
-def bounded(df: DataFrame, most: int) -> DataFrame:
+def bounded(df: DataFrame, most: int, lists: str | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows (it should be cut before).
 
-    Beyond that the planner is left to shuffle both sides.
+    Rows have a fixed width, but for the column ``lists``, whose elements are
+    counted too. Beyond the bound the planner is left to shuffle both sides.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    size = df.agg(F.count(F.lit(1)) + (F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df

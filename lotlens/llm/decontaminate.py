@@ -83,7 +83,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = _prints(items.filter(of), ["item"], width).select("item", "print", _text(width).alias("window"))
         held = cut(held.groupBy("print", "window").agg(F.collect_set("item").alias("items")))
         prints = bounded(held.select("print").distinct(), MOST_PRINTS)
-        windows = bounded(held.select("window", "items"), MOST_WINDOWS)
+        windows = bounded(held.select("window", "items"), MOST_WINDOWS, "items")
         near = _prints(texts, key, width).join(prints, "print", "left_semi").select(*key, "at", _text(width).alias("window"))
         found.append(near.join(windows, "window").select(*key, "at", F.lit(width).alias("width"), "items"))
     if not found:

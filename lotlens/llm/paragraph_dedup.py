@@ -118,7 +118,7 @@ def clean(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     """The rows in the columns they came in, without removed paragraphs."""
     named = docs.withColumn("version", F.xxhash64("text"))
     _, found = repeats(named.select("doc_id", "version", "text"), threshold)
-    one = bounded(cut(_by_doc(found.filter("removed")).select("h_id", "h_version", "removed")), nd.MOST_BROADCAST)
+    one = bounded(cut(_by_doc(found.filter("removed")).select("h_id", "h_version", "removed")), nd.MOST_BROADCAST, "removed")
     held = named.join(one, named["doc_id"].eqNullSafe(one["h_id"]) & (named["version"] == one["h_version"]), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("removed", s["i"]))["x"], "\n")

@@ -177,9 +177,7 @@ _OUT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint,
 
 def _with_boiler(docs: DataFrame, **limits) -> DataFrame:
     bad = cut(boilerplate(docs, **limits).withColumnRenamed("lines", "boiler"))
-    size = bad.agg(F.sum(F.size("boiler"))).first()[0] or 0
-    if size <= MOST_BROADCAST:
-        bad = bounded(bad, MOST_BROADCAST)
+    bad = bounded(bad, MOST_BROADCAST, "boiler")
     host = F.coalesce(docs["source"], F.lit(""))
     return docs.join(bad, host == bad["host"], "left").drop(bad["host"])
 
