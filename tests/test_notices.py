@@ -3,7 +3,10 @@
 import io
 import tarfile
 
+from pyspark.sql import functions as F
+
 from lotlens.operators import features as ft
+from lotlens.sources import files as files_source
 from lotlens.sources import notices as nt
 
 EXT = "<ext:UBLExtensions><ext:UBLExtension><ext:ExtensionContent><efext:EformsExtension>{}</efext:EformsExtension></ext:ExtensionContent></ext:UBLExtension></ext:UBLExtensions>"
@@ -88,3 +91,28 @@ def test_packages(spark, tmp_path):
 
     (tmp_path / "month.tar.gz").write_bytes(tar({"day.tar.gz": tar({"a/1.xml": b"<x/>"}), "2.xml": b"<y/>"}))
     assert sorted(r.source_file for r in nt.read_packages(spark, str(tmp_path)).collect()) == ["1.xml", "2.xml"]
+
+
+def test_acquisition_and_statistics(spark):
+    want = {"kinds": ["cn-standard"], "cpvs": ["45", "71000000"], "country": "DEU", "date_from": "2026-01-01", "date_to": "2026-01-31"}
+    rows = [
+        (1, "cn-standard", ["45261000"], "DEU", "2026-01-05", "1-2026"), (2, "pin", ["45261000"], "DEU", "2026-01-05", "1-2026"), (3, "cn-standard", ["71000001"], "DEU", "2026-01-05", "1-2026"),
+        (4, "cn-standard", ["71000000"], "FRA", "2026-01-05", "1-2026"), (5, "cn-standard", ["71000000"], "DEU", "2026-02-01", "1-2026"), (6, "cn-standard", ["71000000"], "DEU", None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, kind string, codes array<string>, country string, day string, number string")
+    reason = nt.reject_reason(F.col("kind"), F.col("codes"), F.col("country"), F.col("day").cast("date"), F.col("number"), want)
+    got = {r.id: r.why for r in df.select("id", reason.alias("why")).collect()}
+    assert got == {1: None, 2: "notice-type", 3: "cpv", 4: "country", 5: "date", 6: "no-publication-id"}
+    stat = "<efac:ReceivedSubmissionsStatistics><efbc:StatisticsCode>{}</efbc:StatisticsCode><efbc:StatisticsNumeric>{}</efbc:StatisticsNumeric></efac:ReceivedSubmissionsStatistics>"
+    lots = "".join(f"<efac:LotResult><efac:TenderLot><cbc:ID>L{k}</cbc:ID></efac:TenderLot>{s}</efac:LotResult>" for k, s in enumerate((stat.format("t-sme", "") + stat.format("tenders", 4) + stat.format("t-esubm", 3), stat.format("tenders", -1) + stat.format("t-esubm", 2), "")))
+    xml = f'<ContractAwardNotice xmlns="n" {NS}>{EXT.format(f"<efac:NoticeResult>{lots}</efac:NoticeResult>")}</ContractAwardNotice>'.encode()
+    files = spark.createDataFrame([("a.xml", bytearray(xml))], "source_file string, content binary")
+    notices = files.select("source_file", nt._lifted("content").alias("l")).select("source_file", F.from_json("l.raw", nt.RAW).alias("n"))
+    assert {(r.lot_id, r.n_bids, r.n_bids_source) for r in nt.bid_statistics(notices).collect()} == {("L0", 4, "tenders"), ("L1", 2, "t-esubm"), ("L2", None, None)}
+
+
+def test_range_split():
+    held = {1: 3, 2: 5, 3: 0, 4: 9, 5: 1}
+    count = lambda a, z: sum(held[k] for k in range(a, z + 1))
+    parts = files_source.split_ranges(18, count, 1, 5, 8)
+    assert parts[0][0] == 1 and parts[-1][1] == 5 and all(count(a, z) <= 8 or a == z for a, z in parts) and sum(count(a, z) for a, z in parts) == 18
