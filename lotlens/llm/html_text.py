@@ -29,6 +29,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .cluster import small_batches
+
 #: Elements whose content is never text of the page.
 HIDDEN = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button".split())
 #: Hidden elements whose content is raw until the end tag.
@@ -362,7 +364,7 @@ def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import near_dup as nd, textkit as tk
-from .cluster import bounded, cut
+from .cluster import bounded, cut, small_batches
 
 K, BANDS, ROWS = 5, 24, 5
 WIDTH = BANDS * ROWS
@@ -35,6 +35,7 @@ def _sets(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tk.shingles(*tk.word_hashes(d, o), K)
 
 
+@tk.frugal
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tk.buffers(b.column("text"))
@@ -46,6 +47,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(digests, pa.binary()), lists], names=["doc_id", "digest", "bands"])
 
 
+@tk.frugal
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tk.buffers(b.column("text"))
@@ -63,7 +65,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def join(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     """doc_id, class_id and n_links of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.select("doc_id", "text").mapInArrow(_prints, f"doc_id {kind}, digest binary, bands array<bigint>"))
+    rows = cut(small_batches(docs).select("doc_id", "text").mapInArrow(_prints, f"doc_id {kind}, digest binary, bands array<bigint>"))
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times"), F.first("bands").alias("bands"))
     near = cut(nd.candidates(classes))
     known = classes.select("digest", "first", "times").withColumn("node", nd.node_of())

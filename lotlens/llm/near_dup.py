@@ -212,7 +212,7 @@ def links(members: DataFrame, width: int, threshold: float = THRESHOLD) -> DataF
     paired = placed.select("root", "digest", "times", "grams", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "digest", "times", "grams", "sig")
     keys = ["root", "low", "high"]
-    found = paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(width, threshold), "digest binary, links bigint, root binary")
+    found = paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tk.frugal(_compare(width, threshold)), "digest binary, links bigint, root binary")
     found = cut(found)
     group = components(found.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     total = found.groupBy("digest").agg(F.sum("links").alias("links"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import near_dup as nd, textkit as tk
-from .cluster import bounded, cut
+from .cluster import bounded, cut, small_batches
 from .quality_rules import _lines
 
 K, BANDS, ROWS = 5, 10, 3
@@ -44,6 +44,7 @@ def _paragraphs(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, long - lines[doc], h, off
 
 
+@tk.frugal
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tk.buffers(b.column("text"))
@@ -58,6 +59,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "version", "items"])
 
 
+@tk.frugal
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tk.buffers(b.column("text"))
@@ -73,7 +75,7 @@ def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD) -> tuple[DataFrame
     ``docs``: doc_id, version, text. class_id is the smallest doc_id of the component.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.mapInArrow(_prints, f"doc_id {kind}, version bigint, items array<struct<place:int,digest:binary,bands:array<bigint>>>"))
+    rows = cut(small_batches(docs).mapInArrow(_prints, f"doc_id {kind}, version bigint, items array<struct<place:int,digest:binary,bands:array<bigint>>>"))
     every = rows.select("doc_id", "version", F.explode("items").alias("i"))
     classes = cut(every.groupBy("i.digest").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.count(F.lit(1)).alias("times"), F.first("i.bands").alias("bands")))
     near = cut(nd.candidates(classes))

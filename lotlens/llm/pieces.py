@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textkit as tk
+from .cluster import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 20240229, 2
 #: Text handled at once: more text repeats more words.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 19
 ROW = 48
 _SPACE = "▁"
 _CHUNK = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
@@ -317,7 +318,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float
     with open(model, "rb") as f:  # the driver's file; half a megabyte goes along with the tasks
         held = f.read()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encoded(held, seed, dropout), f"doc_id {kind}, n_pieces bigint, pieces array<int>, lossless boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(tk.frugal(_encoded(held, seed, dropout)), f"doc_id {kind}, n_pieces bigint, pieces array<int>, lossless boolean")
 
 
 def decode_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:

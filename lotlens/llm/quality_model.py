@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textkit as tk
+from .cluster import small_batches
 
 #: Most labelled rows that are fitted on; they are collected to the driver as features.
 MAX_TRAIN = 6000
@@ -150,7 +151,7 @@ def _scored(machine: Machine):
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scored(machine), f"doc_id {kind}, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_scored(machine), f"doc_id {kind}, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
-from .cluster import bounded, cut
+from .cluster import bounded, cut, small_batches
 
 #: A line is boilerplate only in more than this many distinct texts of a host,
 MIN_DOCS = 20
@@ -57,6 +57,7 @@ def _normal_lines(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return tk.span_hashes(packed, at[:-1], at[1:]), np.diff(at)
 
 
+@tk.frugal
 def _corpus_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tk.buffers(b.column("text"))
@@ -84,7 +85,7 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = LINE_S
 
     A host has at most ``lines per text / share`` of them, so a row is small.
     """
-    texts = docs.select(F.coalesce(F.col("source"), F.lit("")).alias("host"), "text")
+    texts = small_batches(docs).select(F.coalesce(F.col("source"), F.lit("")).alias("host"), "text")
     distinct = (
         texts.mapInArrow(_corpus_lines, "host string, digest binary, lines array<bigint>")
         .groupBy("host", "digest")
@@ -185,7 +186,7 @@ def _with_boiler(docs: DataFrame, **limits) -> DataFrame:
 def judge(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
     """One row per document: the counts, base_failed and the verdict ``kept``."""
     held = _with_boiler(docs.select("doc_id", "text", "source"), **limits).select("doc_id", "text", "boiler")
-    return held.mapInArrow(_judged(depleted, False), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}")
+    return held.mapInArrow(tk.frugal(_judged(depleted, False)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}")
 
 
 def clean(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
@@ -195,7 +196,7 @@ def clean(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
     extra = [f for f in docs.schema.fields if f.name != "text"]
     packed = held.select(F.struct(*[held[f.name] for f in extra]).alias("rest"), held["text"], held["boiler"])
     rest = T.StructType(extra).simpleString()
-    done = packed.mapInArrow(_judged(depleted, True), f"rest {rest}, {_OUT}, cleaned string").filter("kept")
+    done = packed.mapInArrow(tk.frugal(_judged(depleted, True)), f"rest {rest}, {_OUT}, cleaned string").filter("kept")
     texts = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("bigint")}
     return done.select(*[texts.get(c, F.col("rest")[c]).alias(c) for c in cols])
 
