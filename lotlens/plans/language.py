@@ -163,16 +163,16 @@ def band_draw_admit(t: Tables) -> DataFrame:
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)"
 
 
-@query("cosine_top1", f"WITH {_UNIT}, c AS (SELECT a.vec_id, b.vec_id AS ref, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0) SELECT vec_id, ref, round(cos, 6) AS cos FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ref) = 1")
+@query("cosine_top1", f"WITH {_UNIT}, c AS (SELECT a.vec_id, b.vec_id AS ref, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0) SELECT vec_id, ref, cos FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ref) = 1")
 def cosine_top1(t: Tables) -> DataFrame:
     refs = t.embeddings.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("ref"), "embedding")
-    return rounded(vc.best_reference(t.embeddings, refs, "vec_id", "ref", "embedding"), "cos")
+    return vc.best_reference(t.embeddings, refs, "vec_id", "ref", "embedding")
 
 
-@query("top_labels", f"WITH {_UNIT}, c AS (SELECT a.vec_id, b.vec_id AS ref, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ref) AS rank FROM c) SELECT vec_id, ref, round(cos, 6) AS cos, rank FROM r WHERE rank <= 3")
+@query("top_labels", f"WITH {_UNIT}, c AS (SELECT a.vec_id, b.vec_id AS ref, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ref) AS rank FROM c) SELECT vec_id, ref, cos, rank FROM r WHERE rank <= 3")
 def top_labels(t: Tables) -> DataFrame:
     refs = t.embeddings.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("ref"), "embedding")
-    return rounded(vc.top_labels(t.embeddings, refs, "vec_id", "ref", "embedding", 3), "cos")
+    return vc.top_labels(t.embeddings, refs, "vec_id", "ref", "embedding", 3)
 
 
 _COH = f"{_UNIT}, s AS (SELECT label, i, sum(v[i]) AS s FROM u, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM u GROUP BY 1), c AS (SELECT label, n, (sum(s * s) - n) / (n::DOUBLE * n - n) AS cohesion FROM s JOIN n USING (label) GROUP BY 1, 2)"
@@ -188,17 +188,17 @@ def trusted_labels(t: Tables) -> DataFrame:
     return rounded(vc.trusted(t.embeddings, "label", "embedding"), "cohesion", "baseline")
 
 
-@query("pseudo_refs", f"WITH {_COH}, d AS (SELECT u.label, vec_id, sum(v[i] * s) AS dot, any_value(n) AS n, any_value(cohesion) AS cohesion FROM u JOIN s USING (label) JOIN c USING (label) GROUP BY 1, 2), m AS (SELECT *, round((dot - 1) / (n - 1), 9) AS mean FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mean DESC, vec_id) AS rank FROM m WHERE mean >= (cohesion + 0.01) / 2) SELECT label, vec_id, round(mean, 6) AS mean FROM r WHERE rank <= 200")
+@query("pseudo_refs", f"WITH {_COH}, d AS (SELECT u.label, vec_id, sum(v[i] * s) AS dot, any_value(n) AS n, any_value(cohesion) AS cohesion FROM u JOIN s USING (label) JOIN c USING (label) GROUP BY 1, 2), m AS (SELECT *, round((dot - 1) / (n - 1), 9) AS mean FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mean DESC, vec_id) AS rank FROM m WHERE mean >= (cohesion + 0.01) / 2) SELECT label, vec_id, mean FROM r WHERE rank <= 200")
 def pseudo_refs(t: Tables) -> DataFrame:
-    return rounded(vc.pseudo_refs(t.embeddings, "label", "vec_id", "embedding", 0.01).drop("rank"), "mean")
+    return vc.pseudo_refs(t.embeddings, "label", "vec_id", "embedding", 0.01).drop("rank")
 
 
-@query("soft_fingerprint", f"WITH {_UNIT}, c AS (SELECT a.label AS firm, a.vec_id AS ref, b.vec_id AS code, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0), n AS (SELECT firm, code, count(DISTINCT ref) AS refs, max(cos) AS best FROM c WHERE cos >= 0.2 GROUP BY 1, 2 HAVING count(DISTINCT ref) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY best DESC, code) AS rank FROM n) SELECT firm, code, refs, round(best, 6) AS best, rank FROM r WHERE rank <= 8")
+@query("soft_fingerprint", f"WITH {_UNIT}, c AS (SELECT a.label AS firm, a.vec_id AS ref, b.vec_id AS code, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0), n AS (SELECT firm, code, count(DISTINCT ref) AS refs, max(cos) AS best FROM c WHERE cos >= 0.2 GROUP BY 1, 2 HAVING count(DISTINCT ref) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY best DESC, code) AS rank FROM n) SELECT firm, code, refs, best, rank FROM r WHERE rank <= 8")
 def soft_fingerprint(t: Tables) -> DataFrame:
     codes = t.embeddings.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("code"), "embedding")
     top = vc.top_labels(t.embeddings.select(F.col("vec_id").alias("ref"), "embedding"), codes, "ref", "code", "embedding", 1 << 30)
     firm = t.embeddings.select(F.col("vec_id").alias("ref"), F.col("label").alias("firm"))
-    return rounded(vc.soft_fingerprint(top.join(firm, "ref"), "firm", "ref", "code", "cos", floor=0.2), "best")
+    return vc.soft_fingerprint(top.join(firm, "ref"), "firm", "ref", "code", "cos", floor=0.2)
 
 
 # --- gate -------------------------------------------------------------------------------------------
