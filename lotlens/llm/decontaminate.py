@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .cluster import bounded, cut
 
 WINDOW, GRAM = 10, 5
-#: Word characters before lowering: digits, letters, everything outside ASCII.
-PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Word characters before lowering: digits, letters, everything outside ASCII. Single
+#: characters are looked up in a bit set by the regex engine, ranges are not.
+PATTERN = r"[0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz\x{80}-\x{10FFFF}]+"
 #: Most benchmark rows (a hash each, or a window each) that are broadcast; beyond that both sides are shuffled.
 MOST_PRINTS, MOST_WINDOWS = 1_000_000, 200_000
 
@@ -59,7 +60,7 @@ def _prints(hashed: DataFrame, key: list[str], width: int) -> DataFrame:
         return hashed.select(*key, "words", F.posexplode(prints).alias("at", "print"))
     step = hashed.select(*key, "words", _grams(F.col("hashes"), GRAM).alias("grams"))
     span = WINDOW - GRAM + 1
-    least = F.transform(_places(F.size("grams"), span), lambda i: F.array_min(F.slice("grams", i + 1, span)))
+    least = F.transform(_places(F.size("grams"), span), lambda i: F.least(*[F.get(F.col("grams"), i + k) for k in range(span)]))
     return step.select(*key, "words", F.posexplode(least).alias("at", "print"))
 
 
