@@ -14,7 +14,7 @@ compare adjacent prefixes.
    repeats as a whole. What is left shares an anchor with different bytes.
 3. These runs (each distinct text once) are sorted, a bucket per anchor, many
    buckets per task. An anchor of more than ``MOST`` distinct runs would be a
-   hot bucket: its runs are halved instead, round by round and with counts over
+   hot bucket: its runs are cut in pieces and halved instead, round by round and with counts over
    all tasks. A half whose common core is unique holds no repeat; one whose
    whole text occurs twice is a repeat; single starts decide the rest, exactly.
 
@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textkit as tk
-from .cluster import bounded, cut
+from .cluster import bounded, cut, small_batches
 
 LENGTH, GRAM = 400, 32
 #: Distinct runs of one anchor that are sorted in one task.
-MOST = 96
+MOST = 1024
 #: Bytes that are sorted at once.
-BATCH = 1 << 20
-#: Most rows of keys that are broadcast; beyond that both sides are shuffled.
+BATCH = 1 << 19
+#: Most rows of keys (16 bytes each) that are broadcast; beyond that both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 
 _ITEM = "struct<lo:int,n:int,anchor:bigint,span:bigint>"
@@ -239,20 +239,22 @@ def _halves(length: int, level: int) -> Callable:
 
 def _hot(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     """Repeats among the runs (anchor, span, n, back, bytes) of hot anchors; back: anchor's distance from the first start."""
-    level = 0
-    while (1 << level) <= length - gram:
-        level += 1
+    level = min(6, (length - gram).bit_length())
     # Pieces are the starts whose distances from the anchor share their high bits, so equal strings fall into like pieces.
-    state = texts.dropDuplicates(["anchor", "span"]).select("anchor", "span", "back", "bytes", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
+    state = texts.dropDuplicates(["anchor", "span"]).withColumn("low", F.shiftright(F.col("back") - (F.col("n") - 1), level)).withColumn("high", F.shiftright("back", level))
+    state = state.select("anchor", "span", "back", "n", "bytes", F.explode(F.sequence("low", "high")).alias("p"))
+    lo, hi = F.col("back") - F.shiftleft(F.col("p") + 1, level) + 1, F.col("back") - F.shiftleft(F.col("p"), level)
+    state = state.select("anchor", "span", "back", "bytes", F.greatest(F.lit(0), lo).alias("lo"), F.least(F.col("n") - 1, hi).alias("hi"))
     found = None
     while True:
         piece = F.shiftright(F.col("back") - F.col("lo"), level)
-        hashed = state.mapInArrow(_halves(length, level), "anchor bigint, span bigint, back int, bytes binary, lo int, hi int, core bigint, whole bigint")
+        hashed = state.mapInArrow(tk.frugal(_halves(length, level)), "anchor bigint, span bigint, back int, bytes binary, lo int, hi int, core bigint, whole bigint")
         hashed = cut(hashed.withColumn("piece", piece))
         counts = []
         for kind in ("core", "whole"):
             counts.append(hashed.groupBy("anchor", "piece", kind).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", "piece", kind))
         whole = hashed.join(counts[1], ["anchor", "piece", "whole"], "left_semi").select("anchor", "span", F.col("lo").alias("a"), F.col("hi").alias("b"))
+        whole = cut(whole)  # small; else the plan of every round would be run again at the end
         found = whole if found is None else found.union(whole)
         if level == 0:
             break
@@ -287,19 +289,31 @@ def _contexts(length: int) -> Callable:
     return run
 
 
+def _split(docs: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with their row of ``few``, the others); ``few``: doc_id, version and more, one row of each.
+
+    Only the keys (16 bytes each, a bounded number) are broadcast; the rows that
+    they leave meet the rest of ``few`` by shuffle.
+    """
+    few = cut(few.withColumnsRenamed({"doc_id": "w_id", "version": "w_version"}))
+    keys = bounded(few.select("w_id", "w_version"), MOST_BROADCAST)
+    same = lambda k: docs["doc_id"].eqNullSafe(k["w_id"]) & (docs["version"] == k["w_version"])
+    held = docs.join(keys, same(keys), "left_semi")
+    held = held.join(few, held["doc_id"].eqNullSafe(few["w_id"]) & (held["version"] == few["w_version"]))
+    return held.drop("w_id", "w_version"), docs.join(keys, same(keys), "left_anti")
+
+
 def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(anchor, span, n, back, bytes) of the wanted runs, read again from the documents that hold them."""
     by_doc = wanted.groupBy("at.doc_id", "at.version").agg(F.collect_list(F.struct(F.col("at.lo").alias("lo"), "n", "anchor", "span", "back")).alias("wanted"))
-    by_doc = by_doc.select(F.col("doc_id").alias("w_id"), F.col("version").alias("w_version"), "wanted")
-    by_doc = bounded(cut(by_doc), MOST_BROADCAST)
-    held = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["w_id"]) & (docs["version"] == by_doc["w_version"]))
-    return held.select("text", "wanted").mapInArrow(_contexts(length), "anchor bigint, span bigint, n int, back int, bytes binary")
+    held, _ = _split(docs, by_doc)
+    return held.select("text", "wanted").mapInArrow(tk.frugal(_contexts(length)), "anchor bigint, span bigint, n int, back int, bytes binary")
 
 
 def _hits(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, version, ranges): the starts of repeated strings of each document that has any."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.mapInArrow(_runs(length), f"doc_id {kind}, version bigint, items array<{_ITEM}>"))
+    rows = cut(docs.mapInArrow(tk.frugal(_runs(length)), f"doc_id {kind}, version bigint, items array<{_ITEM}>"))
     each = rows.select("doc_id", "version", F.explode("items").alias("i")).select("doc_id", "version", "i.*")
     again = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     red = cut(each.join(bounded(cut(again), MOST_BROADCAST), "anchor", "left_semi"))
@@ -308,7 +322,7 @@ def _hits(docs: DataFrame, length: int) -> DataFrame:
     unclear = stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("single")).filter("kinds > 1 AND single > 0")
     wanted = cut(stats.join(unclear.select("anchor", "kinds"), "anchor").withColumn("back", F.lit(0)))
     calm = _fetch(docs, wanted.filter(F.col("kinds") <= MOST), length)
-    calm = calm.select("anchor", "span", "bytes").repartition("anchor").sortWithinPartitions("anchor", "span").mapInArrow(_sorted(length), _FOUND)
+    calm = calm.select("anchor", "span", "bytes").repartition("anchor").sortWithinPartitions("anchor", "span").mapInArrow(tk.frugal(_sorted(length)), _FOUND)
     whole = stats.filter("c > 1").select("anchor", "span", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("ranges"))
     single = stats.filter("c = 1").select("anchor", "span")
     part = calm
@@ -316,8 +330,7 @@ def _hits(docs: DataFrame, length: int) -> DataFrame:
     if not hot.isEmpty():
         part = part.union(_hot(_placed(_fetch(docs, hot, length), length), length))
     part = part.join(single, ["anchor", "span"], "left_semi")
-    found = bounded(cut(whole.union(part)), MOST_BROADCAST)
-    flat = red.join(found, ["anchor", "span"]).select("doc_id", "version", "lo", F.explode("ranges").alias("r"))
+    flat = red.join(whole.union(part), ["anchor", "span"]).select("doc_id", "version", "lo", F.explode("ranges").alias("r"))
     return flat.groupBy("doc_id", "version").agg(F.collect_set(F.struct((F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))).alias("ranges"))
 
 
@@ -365,16 +378,15 @@ _OUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
     """The rows with the starts of their repeated strings."""
-    named = docs.withColumn("version", F.xxhash64("text"))
-    hits = _hits(named.select("doc_id", "version", "text"), length).select(F.col("doc_id").alias("h_id"), F.col("version").alias("h_version"), "ranges")
-    hits = bounded(cut(hits), MOST_BROADCAST)
-    return named.join(hits, named["doc_id"].eqNullSafe(hits["h_id"]) & (named["version"] == hits["h_version"]), "left")
+    named = small_batches(docs).withColumn("version", F.xxhash64("text"))
+    held, rest = _split(named, _hits(named.select("doc_id", "version", "text"), length))
+    return held.unionByName(rest.withColumn("ranges", F.lit(None).cast("array<struct<a:int,b:int>>")))
 
 
 def measure(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_ranges(docs.select("doc_id", "text"), length).select("doc_id", "text", "ranges").mapInArrow(_kept(length, False), f"doc_id {kind}, {_OUT}")
+    return _with_ranges(docs.select("doc_id", "text"), length).select("doc_id", "text", "ranges").mapInArrow(tk.frugal(_kept(length, False)), f"doc_id {kind}, {_OUT}")
 
 
 def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -382,7 +394,7 @@ def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     held = _with_ranges(docs, length)
     packed = held.select(F.struct(*[held[c] for c in others]).alias("rest"), "text", "ranges")
-    done = packed.mapInArrow(_kept(length, True), f"rest {packed.schema['rest'].dataType.simpleString()}, {_OUT}, kept_text string")
+    done = packed.mapInArrow(tk.frugal(_kept(length, True)), f"rest {packed.schema['rest'].dataType.simpleString()}, {_OUT}, kept_text string")
     texts = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
     return done.select(*[texts.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 

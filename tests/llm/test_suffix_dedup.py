@@ -55,7 +55,8 @@ def test_suffix_array():
             assert sd.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
-def test_measure_matches_brute_force(spark):
+def test_measure_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sd, "MOST", 96)
     texts = corpus()
     assert measured(spark, texts) == brute(texts, 400)
 
