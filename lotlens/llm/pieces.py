@@ -4,10 +4,14 @@ The model file gives the pieces and their scores; merging is done here so that
 each candidate merge can be skipped by a keyed hash. A candidate is an adjacent
 pair of symbols inside a chunk (a run of spaces and the word after it; no piece
 crosses chunks) and is known by the places of its ends. It is skipped if
-hash(seed, chunk, variant, places) falls below the dropout rate. The variant, one
-of ``VARIANTS``, is a keyed hash of the document and the number of the chunk, so
-one word is cut in several ways over a text, and the same seed cuts it the same
-way again.
+hash(seed, text, number of the chunk, places) falls below the dropout rate, so
+every occurrence of a word has skips of its own, and the same seed cuts it the
+same way again.
+
+Occurrences share work only where they must come out alike: a chunk is merged
+without skips, then once for each set of skips that two or more occurrences have
+among the candidates met so far, and so on; an occurrence whose skips are its own
+is merged by itself.
 
 Short chunks are merged together, a matrix row each: every round merges the
 best candidate of every row, which is the order of an agenda per chunk. Chunks
@@ -35,7 +39,7 @@ from . import textkit as tk
 from .cluster import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 20240229, 2
+DROPOUT, SEED = 0.1, 20240229
 #: Text handled at once: more text repeats more words.
 CHUNK_BYTES = 3 << 19
 ROW = 48
@@ -44,6 +48,8 @@ _CHUNK = re.compile(f"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
 _NONE = np.int32(1 << 30)
 _OTHER = 1 << 19
 _TABLE, _MULT = 19, 0x9E3779B97F4A7C15
+#: Bits of a candidate's three places in a chunk of at most ROW characters; occurrences looked at together.
+_BITS, _BLOCK = 18, 1 << 16
 
 
 class Pieces:
@@ -119,9 +125,16 @@ def load(model: bytes) -> Pieces:
     return Pieces(model)
 
 
+def _places(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return tk.mix((start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64))
+
+
+def _below(h: np.ndarray, rate: float) -> np.ndarray:
+    return (tk.mix(h) >> np.uint64(11)).astype(float) < rate * 2.0**53
+
+
 def _skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    place = (start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-    return (tk.mix(key ^ tk.mix(place)) >> np.uint64(11)).astype(float) < rate * 2.0**53
+    return _below(key ^ _places(start, mid, end), rate)
 
 
 def _agenda(p: Pieces, chunk: str, key: np.uint64, rate: float) -> list[int]:
@@ -156,9 +169,11 @@ def _agenda(p: Pieces, chunk: str, key: np.uint64, rate: float) -> list[int]:
     return [x for i in range(n) if live[i] for x in p.out(sym[i], chunk[i : end[i]])]
 
 
-def _rows(p: Pieces, texts: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(p: Pieces, texts: list[str], keys: np.ndarray | None, rate: float, skips: np.ndarray | None = None, asked: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chunks of at most ROW characters, all at once: pieces, their number for each row, order of the rows.
 
+    With ``skips`` (sorted row << _BITS | places) just these candidates are skipped, and the others met go to ``asked``.
+
     A symbol stands at the place of its first character; ``nxt`` and ``prv`` link
     the symbols of a row, so merging moves nothing.
     """
@@ -183,7 +198,13 @@ def _rows(p: Pieces, texts: list[str], keys: np.ndarray, rate: float) -> tuple[n
         y = nxt[base + x]
         made = p.merged(sym[base + x], sym[base + y])
         r = np.where(made >= 0, p.rank[made], _NONE)
-        if rate:
+        if skips is not None:
+            f = np.flatnonzero(made >= 0)
+            met = (((row[f] << 6 | x[f]) << 6 | y[f]) << 6) | nxt[base[f] + y[f]]
+            gone = skips[np.minimum(np.searchsorted(skips, met), len(skips) - 1)] == met if len(skips) else np.zeros(len(f), bool)
+            r[f[gone]] = _NONE
+            asked.append(met[~gone])
+        elif rate:
             f = np.flatnonzero(made >= 0)
             end = nxt[base[f] + y[f]]
             r[f[_skipped(keys[row[f]], x[f], y[f], end, rate)]] = _NONE
@@ -227,28 +248,103 @@ def _rows(p: Pieces, texts: list[str], keys: np.ndarray, rate: float) -> tuple[n
     return ids, counts, np.arange(len(texts))
 
 
-def encode_chunks(p: Pieces, texts: list[str], variants: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pieces, first, count) of each chunk; ``variants`` choose among its segmentations. An empty chunk is a literal U+2581."""
-    raw = [t.encode() for t in texts]
-    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    keys = tk.span_hashes(np.frombuffer(b"".join(raw), np.uint8), off[:-1], off[1:])
-    keys = tk.mix(keys + tk.mix(variants.astype(np.uint64) + np.uint64(seed % (1 << 63)) * np.uint64(7919)))
-    size = np.array([len(t) for t in texts])
-    parts, counts, order = [], [], []
+def _batches(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of chunks of similar sizes."""
     for low, high in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14), (14, 18), (18, 24), (24, ROW)):
         for at in np.array_split(w := np.flatnonzero((size > low) & (size <= high)), max(1, len(w) // 8000)):
             if len(at):
-                ids, n, rows = _rows(p, [texts[i] for i in at], keys[at], rate)
-                parts.append(ids), counts.append(n), order.append(at[rows])
-    single = [(k, _agenda(p, texts[k], keys[k], rate)) for k in np.flatnonzero(size > ROW)]
-    single += [(k, [int(p.byte[b]) for b in _SPACE.encode()]) for k in np.flatnonzero(size == 0)]
-    for k, ids in single:
-        parts.append(np.array(ids)), counts.append(np.array([len(ids)])), order.append(np.array([k]))
-    n = np.concatenate(counts)
-    first, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    at = np.concatenate(order)
-    first[at], count[at] = np.cumsum(n) - n, n
-    return np.concatenate(parts).astype(np.int32), first, count
+                yield at
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... of every k, ``count[k]`` of them."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def encode_chunks(p: Pieces, texts: list[str], which: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces, first, count) of each occurrence: of the chunk ``texts[which]``, under its own key. An empty chunk is a literal U+2581."""
+    size = np.array([len(t) for t in texts], np.int64)
+    parts: list[np.ndarray] = []
+    held = 0
+    first, count = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+
+    def put(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        nonlocal held
+        parts.append(ids.astype(np.int32))
+        at = held + np.cumsum(n) - n
+        held += len(ids)
+        return at
+
+    long = size[which] > ROW
+    empty = np.flatnonzero(size[which] == 0)
+    if len(empty):
+        mark = np.array([p.byte[b] for b in _SPACE.encode()])
+        first[empty], count[empty] = put(mark, np.array([len(mark)])), len(mark)
+    for k in np.flatnonzero(long):
+        ids = np.array(_agenda(p, texts[which[k]], keys[k], rate))
+        first[k], count[k] = put(ids, np.array([len(ids)]))[0], len(ids)
+
+    # A node is a chunk with a set of skips; an occurrence stands at the node of all its skips met so far.
+    node_text, skips = np.flatnonzero((size > 0) & (size <= ROW)), np.zeros(0, np.int64)
+    occ = np.flatnonzero(~long & (size[which] > 0))
+    node = np.searchsorted(node_text, which[occ])
+    own = [np.zeros(0, np.int64)]  # occurrences to be merged by themselves
+    while len(occ):
+        n_first, n_count, met = np.zeros(len(node_text), np.int64), np.zeros(len(node_text), np.int64), [np.zeros(0, np.int64)]
+        bounds = np.searchsorted(skips, np.arange(len(node_text) + 1) << _BITS)
+        for at in _batches(size[node_text]):
+            n = bounds[at + 1] - bounds[at]
+            local = np.repeat(np.arange(len(at)), n) << _BITS | skips[_spread(bounds[at], n)] & ((1 << _BITS) - 1)
+            asked: list[np.ndarray] = []
+            ids, n, _ = _rows(p, [texts[k] for k in node_text[at].tolist()], None, rate, local, asked)
+            n_first[at], n_count[at] = put(ids, n), n
+            a = np.concatenate(asked)
+            met.append(at[a >> _BITS] << _BITS | a & ((1 << _BITS) - 1))
+        first[occ], count[occ] = n_first[node], n_count[node]
+        if not rate:
+            break
+        met = np.sort(np.concatenate(met))
+        m_at = np.searchsorted(met, np.arange(len(node_text) + 1) << _BITS)
+        place = _places(met >> 12 & 63, met >> 6 & 63, met & 63)
+        hit_occ, hit_met = [], []
+        for k in range(0, len(occ), _BLOCK):
+            at = node[k : k + _BLOCK]
+            n = m_at[at + 1] - m_at[at]
+            pair = _spread(m_at[at], n)
+            hit = np.flatnonzero(_below(np.repeat(keys[occ[k : k + _BLOCK]], n) ^ place[pair], rate))
+            hit_occ.append(np.searchsorted(np.cumsum(n), hit, "right") + k)
+            hit_met.append(pair[hit])
+        hit_occ, hit_met = np.concatenate(hit_occ), np.concatenate(hit_met)
+        some, begin = np.unique(hit_occ, return_index=True)  # the occurrences with skips
+        if not len(some):
+            break
+        bit = hit_met - m_at[node[hit_occ]]
+        mask = np.bitwise_or.reduceat(np.int64(1) << np.minimum(bit, 62), begin)
+        wide = np.maximum.reduceat(bit, begin) > 61  # no room in a mask
+        own.append(occ[some[wide]])
+        some, mask = some[~wide], mask[~wide]
+        order = np.lexsort((mask, node[some]))
+        some, mask = some[order], mask[order]
+        new = np.ones(len(some), bool)
+        new[1:] = (mask[1:] != mask[:-1]) | (node[some[1:]] != node[some[:-1]])
+        group = np.cumsum(new) - 1
+        shared = (np.bincount(group, minlength=1) > 1)[group]
+        own.append(occ[some[~shared]])
+        heads, group, some = some[new & shared], np.cumsum((new & shared)[shared]) - 1, some[shared]
+        # Skips of a new node: those of its node so far and those of its first occurrence.
+        n = bounds[node[heads] + 1] - bounds[node[heads]]
+        old = np.repeat(np.arange(len(heads)), n) << _BITS | skips[_spread(bounds[node[heads]], n)] & ((1 << _BITS) - 1)
+        n = np.searchsorted(hit_occ, heads, "right") - np.searchsorted(hit_occ, heads)
+        more = np.repeat(np.arange(len(heads)), n) << _BITS | met[hit_met[_spread(np.searchsorted(hit_occ, heads), n)]] & ((1 << _BITS) - 1)
+        node_text, skips = node_text[node[heads]], np.sort(np.concatenate([old, more]))
+        occ, node = occ[some], group
+    own = np.concatenate(own)
+    for at in _batches(size[which[own]]):
+        k = own[at]
+        ids, n, _ = _rows(p, [texts[i] for i in which[k].tolist()], keys[k], rate)
+        first[k], count[k] = put(ids, n), n
+    return np.concatenate(parts), first, count
 
 
 def decode(p: Pieces, ids: list[int]) -> str:
@@ -278,15 +374,11 @@ def encode_texts(p: Pieces, texts: list[str | None], keys: np.ndarray, seed: int
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     known: dict[str, int] = {}
     codes = np.array([known.setdefault(x, len(known)) for x in parts], np.int64)
-    kinds = list(known)
     place = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
-    variant = tk.mix(np.repeat(keys, counts) + tk.mix(place.astype(np.uint64) + np.uint64(seed % (1 << 63)))) % np.uint64(VARIANTS if rate else 1)
-    used, back = np.unique(codes * VARIANTS + variant.astype(np.int64), return_inverse=True)
-    flat, first, size = encode_chunks(p, [kinds[u // VARIANTS] for u in used.tolist()], used % VARIANTS, seed, rate)
-    n = size[back]
-    ends = np.cumsum(n)
-    ids = flat[np.repeat(first[back] - (ends - n), n) + np.arange(ends[-1])]
-    total = np.concatenate([[0], ends])
+    own = tk.mix(np.repeat(keys, counts) + tk.mix(place.astype(np.uint64) + np.uint64(seed % (1 << 63))))
+    flat, first, n = encode_chunks(p, list(known), codes, own, rate)
+    ids = flat[_spread(first, n)]
+    total = np.concatenate([[0], np.cumsum(n)])
     return ids, total[np.concatenate([[0], np.cumsum(counts)])]
 
 

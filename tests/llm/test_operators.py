@@ -162,6 +162,21 @@ def test_pieces_equal_the_library_without_dropout(spark):
     assert all(lists[i].tolist() == pieces._agenda(p, t, k[i], 0.3) for i, t in enumerate(some))
 
 
+def test_every_occurrence_has_skips_of_its_own():
+    p = pieces.load(open(pieces.MODEL, "rb").read())
+    long = "Donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichen"
+    texts = [" ".join(["Vergabeunterlagen", "the", long[:45], "日本語"] * 150), long + " a\u2581b", None, ""]
+    keys = pieces.tk.mix(np.arange(len(texts), dtype=np.uint64))
+    for rate in (0.1, 0.6):
+        ids, at = pieces.encode_texts(p, texts, keys, rate=rate)
+        places = np.arange(600, dtype=np.uint64) + np.uint64(pieces.SEED)
+        own = pieces.tk.mix(keys[0] + pieces.tk.mix(places))
+        cut_up = [pieces._agenda(p, "\u2581" + w, k, rate) for w, k in zip(texts[0].split(" "), own, strict=True)]
+        assert ids[: at[1]].tolist() == [x for c in cut_up for x in c]
+        assert len({tuple(c) for c in cut_up[::4]}) > 5
+        assert [pieces.decode(p, ids[at[k] : at[k + 1]].tolist()) for k in range(4)] == [t or "" for t in texts]
+
+
 def test_paragraphs_match_brute_force(spark):
     from .test_near_dup import grams
 
