@@ -1,11 +1,16 @@
 """Paragraph dedup by MinHash banding.
 
-A paragraph is a line of ``MIN_WORDS`` words or more; shorter lines are left
-alone. Paragraphs whose 5-word shingles have a Jaccard similarity of 0.8 or
+With ``whole``, as in the query, every line with words is in a paragraph: a line
+of ``K`` words or more is one, and so are the shorter lines of a run together (a
+run ends at a longer line or one without words). Without it a paragraph is a line
+of ``MIN_WORDS`` words or more and shorter lines are left alone. Paragraphs of
+fewer than ``K`` words have one shingle, so they are matched by all their words.
+Paragraphs whose 5-word shingles have a Jaccard similarity of 0.8 or
 more are linked (see ``near_dup``: bands of ``ROWS`` minima find the
 candidates, every pair of a candidate group is verified exactly), links are
 joined into components, and of each component the first paragraph (smallest
-doc_id, then place) stays.
+doc_id, then place) stays. A set too small to reach the threshold with any other
+set has no bands: it is matched exactly.
 
 Bands: 10 of 3 minima, tuned for recall: a pair at 0.8 exactly misses all of
 them with probability 8e-4, one at 0.9 with 2e-6.
@@ -17,7 +22,7 @@ empty result; other columns are ignored by ``measure`` and kept by ``clean``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,82 +36,102 @@ K, BANDS, ROWS = 5, 10, 3
 MIN_WORDS = 20
 
 
-def _paragraphs(d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, line within it, shingles, offsets of the shingles) of each paragraph."""
+def _paragraphs(d: np.ndarray, o: np.ndarray, whole: bool) -> tuple[np.ndarray, ...]:
+    """(document, first line within it, lines, shingles, offsets of the shingles) of each paragraph."""
     starts, lines = _lines(d, o)
     words, first = tk.word_hashes(d, starts)
-    long = np.flatnonzero(np.diff(first) >= MIN_WORDS)
-    size = np.diff(first)[long]
-    at = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(first[long] - at[:-1], size) + np.arange(at[-1])
-    h, off = tk.shingles(words[take], at, K)
-    doc = np.searchsorted(lines, long, "right") - 1
-    return doc, long - lines[doc], h, off
-
-
-@tk.frugal
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, off = tk.buffers(b.column("text"))
-        for i, j, d, o in tk.chunks(data, off):
-            doc, place, h, at = _paragraphs(d, o)
-            keys = nd.bands(tk.minhashes(h, at, BANDS * ROWS), ROWS)
-            digests = [tk.digest(h[at[k] : at[k + 1]].tobytes()) for k in range(len(doc))]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(doc) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            items = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(digests, pa.binary()), lists], names=["place", "digest", "bands"])
-            ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-            keep = [b.column(c).slice(i, j - i) for c in ("doc_id", "version")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "version", "items"])
-
-
-@tk.frugal
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, off = tk.buffers(b.column("text"))
-        for _, _, d, o in tk.chunks(data, off):
-            _, _, h, at = _paragraphs(d, o)
-            sets = [h[at[k] : at[k + 1]].tobytes() for k in range(len(at) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([tk.digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "grams"])
-
-
-def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(documents, repeated paragraphs): doc_id and version of every document; doc_id, version, place, class_id and removed.
+    count = np.diff(first)
+    if whole:
+        short = (count > 0) & (count < K)
+        head = short.copy()  # a short line that goes on with no run
+        head[1:] &= ~short[:-1]
+        begin = lines[:-1][np.diff(lines) > 0]
+        head[begin] = short[begin]
+        at = np.flatnonzero((count >= K) | head)
+        ends = np.append(np.flatnonzero(~short | head), len(count))
+        span = ends[np.searchsorted(ends, at, "right")] - at
+    else:
+        at = np.flatnonzero(count >= MIN_WORDS)
+        span = np.ones(len(at), np.int64)
+    size = first[at + span] - first[at]
+    off = np.concatenate([[0], np.cumsum(size)])
+    take = np.repeat(first[at] - off[:-1], size) + np.arange(off[-1])
+    h, off = tk.shingles(words[take], off, K)
+    doc = np.searchsorted(lines, at, "right") - 1
+    return doc, at - lines[doc], span, h, off
+
+
+def _prints(whole: bool, threshold: float) -> Callable:
+    @tk.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = tk.buffers(b.column("text"))
+            for i, j, d, o in tk.chunks(data, off):
+                doc, place, span, h, at = _paragraphs(d, o, whole)
+                keys = nd.bands(tk.minhashes(h, at, BANDS * ROWS), ROWS)
+                size = np.diff(at)
+                near = size >= threshold * (size + 1) - 1e-9  # the best match of another set shares all of one and has one more
+                digests = [tk.digest(h[at[k] : at[k + 1]].tobytes()) for k in range(len(doc))]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(near * BANDS)]).astype(np.int32)), pa.array(keys[near].ravel()))
+                items = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(span.astype(np.int32)), pa.array(digests, pa.binary()), lists], names=["place", "span", "digest", "bands"])
+                ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+                keep = [b.column(c).slice(i, j - i) for c in ("doc_id", "version")]
+                yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "version", "items"])
+
+    return run
+
+
+def _grams(whole: bool) -> Callable:
+    @tk.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = tk.buffers(b.column("text"))
+            for _, _, d, o in tk.chunks(data, off):
+                _, _, _, h, at = _paragraphs(d, o, whole)
+                sets = [h[at[k] : at[k + 1]].tobytes() for k in range(len(at) - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([tk.digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "grams"])
+
+    return run
+
+
+def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, repeated paragraphs): doc_id and version of every document; doc_id, version, place, span (lines), class_id and removed.
 
     ``docs``: doc_id, version, text. class_id is the smallest doc_id of the component.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(small_batches(docs).mapInArrow(_prints, f"doc_id {kind}, version bigint, items array<struct<place:int,digest:binary,bands:array<bigint>>>"))
+    rows = cut(small_batches(docs).mapInArrow(_prints(whole, threshold), f"doc_id {kind}, version bigint, items array<struct<place:int,span:int,digest:binary,bands:array<bigint>>>"))
     every = rows.select("doc_id", "version", F.explode("items").alias("i"))
     classes = cut(every.groupBy("i.digest").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.count(F.lit(1)).alias("times"), F.first("i.bands").alias("bands")))
     near = cut(nd.candidates(classes))
     known = classes.select("digest", "first", "times").withColumn("node", nd.node_of())
     members = cut(known.join(near, "node").select("digest", "first", "times", "root"))
     wanted = bounded(cut(members.select(F.col("first.version").alias("version")).distinct()), nd.MOST_BROADCAST)
-    grams = docs.join(wanted, "version", "left_semi").select("text").mapInArrow(_grams, "digest binary, grams binary")
+    grams = docs.join(wanted, "version", "left_semi").select("text").mapInArrow(_grams(whole), "digest binary, grams binary")
     sets = members.select("digest", "times", "root").join(grams, "digest").groupBy("digest", "times", "root").agg(F.first("grams").alias("grams"))
     linked = nd.links(sets.withColumn("sig", F.lit(None).cast("binary")), 0, threshold).select("digest", "root")
     many = classes.filter("times > 1").select("digest")
     told = many.join(linked, "digest", "full").select("digest", F.coalesce("root", "digest").alias("root"))
     told = bounded(cut(told), nd.MOST_BROADCAST)
-    found = cut(every.select("doc_id", "version", "i.place", "i.digest").join(told, "digest").select("doc_id", "version", "place", "root"))
+    found = cut(every.select("doc_id", "version", "i.place", "i.span", "i.digest").join(told, "digest").select("doc_id", "version", "place", "span", "root"))
     firsts = found.groupBy("root").agg(F.min(F.struct("doc_id", "place", "version")).alias("first"), F.min("doc_id").alias("class_id"))
     firsts = bounded(cut(firsts), nd.MOST_BROADCAST)
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.place") == F.col("place")) & (F.col("first.version") == F.col("version"))
-    return rows.select("doc_id", "version", F.size("items").alias("paragraphs")), found.join(firsts, "root").select("doc_id", "version", "place", "class_id", (~same).alias("removed"))
+    return rows.select("doc_id", "version", F.size("items").alias("paragraphs")), found.join(firsts, "root").select("doc_id", "version", "place", "span", "class_id", (~same).alias("removed"))
 
 
 def _by_doc(found: DataFrame) -> DataFrame:
     one = found.distinct().groupBy("doc_id", "version").agg(
-        F.count(F.lit(1)).alias("n_repeated"), F.count_if("removed").alias("n_removed"), F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("place")))).alias("removed"),
+        F.count(F.lit(1)).alias("n_repeated"), F.count_if("removed").alias("n_removed"), F.sort_array(F.flatten(F.collect_list(F.when(F.col("removed"), F.sequence("place", F.col("place") + F.col("span") - 1))))).alias("removed"),
         F.sort_array(F.collect_set("class_id")).alias("class_ids"),
     )
     return one.select(F.col("doc_id").alias("h_id"), F.col("version").alias("h_version"), "n_repeated", "n_removed", "removed", "class_ids")
 
 
-def measure(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
+def measure(docs: DataFrame, threshold: float = nd.THRESHOLD, whole: bool = False) -> DataFrame:
     """Of every document: n_paragraphs, n_repeated, n_removed, the removed lines and the classes of its repeated paragraphs."""
     named = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    rows, found = repeats(named, threshold)
+    rows, found = repeats(named, threshold, whole)
     one = _by_doc(found)
     held = rows.join(one, rows["doc_id"].eqNullSafe(one["h_id"]) & (rows["version"] == one["h_version"]), "left")
     zero = F.lit(0).cast("bigint")
@@ -116,10 +141,10 @@ def measure(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, threshold: float = nd.THRESHOLD, whole: bool = False) -> DataFrame:
     """The rows in the columns they came in, without removed paragraphs."""
     named = docs.withColumn("version", F.xxhash64("text"))
-    _, found = repeats(named.select("doc_id", "version", "text"), threshold)
+    _, found = repeats(named.select("doc_id", "version", "text"), threshold, whole)
     one = bounded(cut(_by_doc(found.filter("removed")).select("h_id", "h_version", "removed")), nd.MOST_BROADCAST, "removed")
     held = named.join(one, named["doc_id"].eqNullSafe(one["h_id"]) & (named["version"] == one["h_version"]), "left")
     lines = F.split("text", "\n")
@@ -130,5 +155,5 @@ def clean(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: every document."""
-    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op6: every document, and every line with words."""
+    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True)

@@ -217,6 +217,62 @@ def test_paragraphs_match_brute_force(spark):
     assert got == {d: [n, sorted(x)] for d, (n, x) in want.items()}
 
 
+def test_query_takes_short_lines(spark, tmp_path):
+    from .test_near_dup import grams
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(200)]
+    base = [list(rng.choice(words, n)) for n in (1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 19, 19, 25, 40)]
+    docs = []
+    for _ in range(70):
+        lines = []
+        for _ in range(rng.integers(0, 6)):
+            w = list(base[rng.integers(len(base))])
+            if rng.random() < 0.4:
+                w[rng.integers(len(w))] = str(rng.choice(words))
+            lines.append(" ".join(w) if rng.random() < 0.9 else rng.choice(["", " --"]))
+        docs.append("\n".join(lines))
+    items = []  # document, lines, shingles
+    for d, t in enumerate(docs):
+        run = []
+        for k, x in enumerate([*t.split("\n"), ""]):
+            n = len(re.findall("w[0-9]+", x))
+            if 0 < n < 5:
+                run.append((k, x))
+                continue
+            if run:
+                items.append((d, [i for i, _ in run], grams(" ".join(y for _, y in run))))
+                run = []
+            if n:
+                items.append((d, [k], grams(x)))
+    root, linked = list(range(len(items))), set()
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(items)):
+        for b in range(a):
+            i = len(items[a][2] & items[b][2])
+            if i >= 0.8 * (len(items[a][2]) + len(items[b][2]) - i) - 1e-12:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+                linked |= {a, b}
+    want = {d: [0, 0, []] for d in range(len(docs))}
+    for k, (d, at, _) in enumerate(items):
+        want[d][0] += 1
+        want[d][1] += k in linked
+        if find(k) != k:
+            want[d][2] += at
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [r.n_paragraphs, r.n_repeated, r.removed_lines] for r in paragraph_dedup.query(spark, str(tmp_path)).collect()}
+    assert len({(d, t) for d, t in enumerate(docs)}) == len(got)
+    assert got == {d: [n, m, sorted(x)] for d, (n, m, x) in want.items()}
+    kept = {r.doc_id: r.text for r in paragraph_dedup.clean(table(spark, docs), whole=True).collect()}
+    assert kept == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d][2]) for d, t in enumerate(docs)}
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 5), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u int, v int")).collect()}
