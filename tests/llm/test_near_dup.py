@@ -78,6 +78,23 @@ def test_null_ids_repeats_and_empty(spark):
     assert sorted(map(str, (r.doc_id for r in jaccard_join.keep_one(docs).collect()))) == sorted(["5", "5", "9", "None", "None", "None"])
 
 
+def test_pipeline_keeps_one_row_of_a_class(spark):
+    import corpus_pipeline
+
+    a, b, c, d = ("one two three four five six " + x for x in ("seven eight", "nine ten eleven", "red green", "blue cyan"))
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(5, a, "x"), (5, a, "x"), (5, a, "y"), (None, b, "x"), (None, b, "x"), (None, b, "z"), (None, c, "x"), (7, c, "x")]
+    rows += [(1, near, "x"), (8, near + " tail", "x"), (8, d, "x"), (9, None, "x"), (9, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (None, b), (7, c), (1, near), (8, d), (9, None), (9, None), (None, "")], key=str)
+    assert corpus_pipeline.jaccard_stage(spark, docs.limit(0), "").count() == 0
+    texts = corpus()
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = sorted(r.doc_id for r in corpus_pipeline.jaccard_stage(spark, docs, "").collect())
+    assert kept == sorted(r.doc_id for r in jaccard_join.keep_one(docs).collect())
+
+
 def test_posterior_bounds_grow():
     least = near_dup.least_matches(120, 0.8, 1e-4)
     assert least[0] == 0 and all(b >= a for a, b in zip(least, least[1:], strict=False)) and 60 < least[120] < 96
