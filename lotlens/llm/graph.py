@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .cluster import cut
 
-MOST_ROUNDS = 40
-
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
@@ -27,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e)
     mark = _mark(e)
-    for _ in range(MOST_ROUNDS):
+    while True:  # until a round changes nothing, however many it takes
         least = e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"))
         large = e.join(least.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))

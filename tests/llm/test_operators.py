@@ -273,6 +273,16 @@ def test_query_takes_short_lines(spark, tmp_path):
     assert kept == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d][2]) for d, t in enumerate(docs)}
 
 
+def test_components_end_only_when_settled(spark, monkeypatch):
+    from lotlens.llm import graph
+
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 1, raising=False)  # a limit of rounds must not cut the work
+    order = np.random.default_rng(5).permutation(60).tolist()
+    edges = list(zip(order[:-1], order[1:], strict=True))
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert got == dict.fromkeys(range(60), 0)
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 5), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u int, v int")).collect()}
