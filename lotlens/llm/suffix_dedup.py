@@ -1,29 +1,33 @@
 """Exact substring dedup by a distributed difference-cover suffix sort.
 
-Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere is
-removed. Sorting all suffixes of a corpus in one order would write it many times over, so
-it is first dealt into buckets that equal strings cannot leave, and each bucket
-is sorted by the difference-cover algorithm (period 3): sort the sampled
-triples, recurse on their names, sort and merge the remaining suffixes, then
-compare adjacent prefixes.
-
-1. Each string of LENGTH bytes has an anchor: its smallest hashed ``GRAM``-gram
-   (the first among equals). Consecutive starts with one anchor are a run, and
-   equal strings stand at equal distances from equal anchors.
-2. Runs whose anchor occurs once hold no repeats. Runs with equal bytes are
-   repeats as a whole. What is left shares an anchor with different bytes.
-3. These runs (each distinct text once) are sorted, a bucket per anchor, many
-   buckets per task. An anchor of more than ``MOST`` distinct runs would be a
-   hot bucket: its runs are cut in pieces and halved instead, round by round and with counts over
-   all tasks. A half whose common core is unique holds no repeat; one whose
-   whole text occurs twice is a repeat; single starts decide the rest, exactly.
-
-Buckets and counts compare 128-bit keys (anchor and run hashes); the sorted
-prefixes are compared byte by byte.
-
-Defined results: a null text is empty; texts under LENGTH bytes keep all bytes
+Every byte covered by a string of ``length`` bytes that also starts elsewhere is
+removed. Sorting all suffixes of a corpus in one order would write it many times
+over, so the strings are first dealt into buckets that equal strings cannot
+leave, and each bucket is sorted by the difference-cover algorithm (period 3):
+sort the sampled triples, recurse on their names, sort and merge the remaining
+suffixes, then compare adjacent prefixes.
+
+1. Each string has an anchor: its smallest hashed ``GRAM``-gram (the first among
+   equals). Equal strings stand at equal distances before equal anchors. The
+   distances are cut in blocks; consecutive starts with one anchor and one block
+   are a piece. All strings of a block share a core around the anchor, and the
+   hash of block and core is the piece's bucket.
+2. A bucket of one piece holds no repeat. Pieces with equal bytes are repeats as
+   a whole. What is left shares its core with different bytes around it.
+3. These pieces (each distinct text once) are sorted, many buckets in a task. A
+   bucket of more than ``MOST`` distinct pieces is too hot for one task: its
+   pieces become texts of their own, and steps 1 to 3 deal them out again with
+   blocks an eighth as wide, so with longer cores; a block of one distance has
+   the whole string as its core, which ends the recursion.
+
+Pieces with equal bytes are known by bucket and a polynomial hash modulo
+2^61 - 1 of all their bytes; the sorted prefixes are compared byte by byte.
+
+Defined results: a null text is empty; texts under ``length`` bytes keep all bytes
 and count as no one's copy; repeated rows are documents of their own, so each
-repeats the other; an empty table gives an empty result.
+repeats the other; an empty table gives an empty result; a null doc_id is kept;
+other columns of the input are ignored by ``measure`` and kept by ``clean``,
+whatever their names are.
 """
 
 from __future__ import annotations
@@ -39,22 +43,25 @@ from . import textkit as tk
 from .cluster import bounded, cut, small_batches
 
 LENGTH, GRAM = 400, 32
-#: Distinct runs of one anchor that are sorted in one task.
-MOST = 1024
+#: Length for passages: 50 words of running text take 250 bytes and more.
+PASSAGE = 200
+#: Blocks that the distances of a string's anchor are cut in at first, and in each round after.
+BLOCKS, FINER = 2, 8
+#: Distinct pieces of one bucket that are sorted in one task.
+MOST = 2048
 #: Bytes that are sorted at once.
 BATCH = 1 << 19
-#: Most rows of keys (16 bytes each) that are broadcast; beyond that both sides are shuffled.
+#: Most rows of keys (8 bytes each) that are broadcast; beyond that both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 
-_ITEM = "struct<lo:int,n:int,anchor:bigint,span:bigint>"
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def anchors(d: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the anchor of the string at each start, hash of every gram)."""
+def anchors(d: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Place of the anchor of the string at each start."""
     n = len(d)
     at = np.arange(n - gram + 1)
-    h = tk.span_hashes(d, at, at + gram)
+    h = tk.rough_hashes(d, at, at + gram)
     width = length - gram + 1
     key = (h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
     padded = np.full(-(-len(key) // width) * width, _FULL, np.uint64)
@@ -64,41 +71,40 @@ def anchors(d: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
     starts = n - length + 1
     least = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
-    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), h
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def runs(d: np.ndarray, o: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document, first start within it, starts, anchor hash, hash of the covered bytes) of each run."""
+def pieces(d: np.ndarray, o: np.ndarray, length: int, block: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(document, first start within it, starts, bucket, hash of the covered bytes) of each piece."""
     size = np.diff(o)
     count = np.maximum(size - length + 1, 0)
     if not count.any():
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
-    where, h = anchors(d, length, gram)
     doc = np.repeat(np.arange(len(size)), count)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + o[doc]
-    anchor = where[start]
+    anchor = anchors(d, length, gram)[start]
+    part = (anchor - start) // block
     new = np.ones(len(doc), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(doc)))
-    lo = start[first]
+    lo, doc, anchor, part = start[first], doc[first], anchor[first], part[first]
+    near = np.minimum((part + 1) * block - 1, length - gram)
+    key = tk.mix(tk.rough_hashes(d, anchor - part * block, anchor - near + length) + part.astype(np.uint64))
     span = tk.span_hashes(d, lo, lo + n - 1 + length)
-    return doc[first], lo - o[doc[first]], n, h[anchor[first]].view(np.int64), span.view(np.int64)
+    return doc, lo - o[doc], n, key.view(np.int64), span.view(np.int64)
 
 
-def _runs(length: int) -> Callable:
+def _pieces(length: int, block: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tk.buffers(b.column("text"))
             for i, j, d, o in tk.chunks(data, off):
-                doc, lo, n, anchor, span = runs(d, o, length)
-                items = pa.StructArray.from_arrays(
-                    [pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(span)], names=["lo", "n", "anchor", "span"]
-                )
-                ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-                keep = [b.column(c).slice(i, j - i) for c in ("doc_id", "version")]
-                yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "version", "items"])
+                doc, lo, n, key, span = pieces(d, o, length, block)
+                ends = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (lo.astype(np.int32), n.astype(np.int32), key, span)]
+                yield pa.RecordBatch.from_arrays([b.column("k").slice(i, j - i), b.column("c").slice(i, j - i), *lists], names=["k", "c", "lo", "n", "key", "span"])
 
     return run
 
@@ -178,7 +184,7 @@ def _ranges(hit: np.ndarray) -> list[dict]:
 
 
 _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-_FOUND = "anchor bigint, span bigint, ranges array<struct<a:int,b:int>>"
+_SQL_RANGES = "array<struct<a:int,b:int>>"
 
 
 def _sorted(length: int) -> Callable:
@@ -190,18 +196,16 @@ def _sorted(length: int) -> Callable:
             hits = repeated([t for _, _, t in held], length)
             rows = [(a, s, _ranges(h)) for (a, s, _), h in zip(held, hits, strict=True) if h.any()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], _RANGES)], names=["anchor", "span", "ranges"]
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], _RANGES)], names=["key", "span", "ranges"]
             )
             held.clear()
 
         for b in batches:
-            for anchor, span, text in zip(b.column("anchor").to_pylist(), b.column("span").to_pylist(), b.column("bytes").to_pylist(), strict=True):
-                if held and held[-1][:2] == (anchor, span):
-                    continue  # repeated rows send a run twice
-                if size > BATCH and held[-1][0] != anchor:
+            for key, span, text in zip(b.column("key").to_pylist(), b.column("span").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if size > BATCH and held[-1][0] != key:
                     yield from close()
                     size = 0
-                held.append((anchor, span, text))
+                held.append((key, span, text))
                 size += len(text)
         if held:
             yield from close()
@@ -209,193 +213,175 @@ def _sorted(length: int) -> Callable:
     return run
 
 
-# --- hot anchors ------------------------------------------------------------------------------------
-
-
-def _halves(length: int, level: int) -> Callable:
-    """Adds the hashes of a piece's core and of all its bytes.
-
-    The core is what all strings have in common whose distances fall in the
-    piece, whether or not this run holds them all; a piece too wide for one has
-    the hash 0.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = tk.buffers(b.column("bytes").cast(pa.large_binary()).view(pa.large_string()) if b.num_rows else pa.array([], pa.string()))
-            lo, hi, back = (b.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "back"))
-            low = (back - lo) >> level << level
-            core, whole = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
-            for i, j, d, o in tk.chunks(data, off):
-                a, z = o[:-1] + lo[i:j], o[:-1] + hi[i:j]
-                if (1 << level) <= length:
-                    near = o[:-1] + back[i:j] - low[i:j]
-                    core[i:j] = tk.span_hashes(d, near, near - (1 << level) + 1 + length).view(np.int64)
-                whole[i:j] = tk.span_hashes(d, a, z + length).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(core), pa.array(whole)], names=[*b.schema.names, "core", "whole"])
-
-    return run
-
-
-def _hot(texts: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """Repeats among the runs (anchor, span, n, back, bytes) of hot anchors; back: anchor's distance from the first start."""
-    level = min(6, (length - gram).bit_length())
-    # Pieces are the starts whose distances from the anchor share their high bits, so equal strings fall into like pieces.
-    state = texts.dropDuplicates(["anchor", "span"]).withColumn("low", F.shiftright(F.col("back") - (F.col("n") - 1), level)).withColumn("high", F.shiftright("back", level))
-    state = state.select("anchor", "span", "back", "n", "bytes", F.explode(F.sequence("low", "high")).alias("p"))
-    lo, hi = F.col("back") - F.shiftleft(F.col("p") + 1, level) + 1, F.col("back") - F.shiftleft(F.col("p"), level)
-    state = state.select("anchor", "span", "back", "bytes", F.greatest(F.lit(0), lo).alias("lo"), F.least(F.col("n") - 1, hi).alias("hi"))
-    found = None
-    while True:
-        piece = F.shiftright(F.col("back") - F.col("lo"), level)
-        hashed = state.mapInArrow(tk.frugal(_halves(length, level)), "anchor bigint, span bigint, back int, bytes binary, lo int, hi int, core bigint, whole bigint")
-        hashed = cut(hashed.withColumn("piece", piece))
-        counts = []
-        for kind in ("core", "whole"):
-            counts.append(hashed.groupBy("anchor", "piece", kind).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", "piece", kind))
-        whole = hashed.join(counts[1], ["anchor", "piece", "whole"], "left_semi").select("anchor", "span", F.col("lo").alias("a"), F.col("hi").alias("b"))
-        whole = cut(whole)  # small; else the plan of every round would be run again at the end
-        found = whole if found is None else found.union(whole)
-        if level == 0:
-            break
-        # One of each text goes on, also of those already found: others may share a part of it.
-        open_ = hashed.join(counts[0], ["anchor", "piece", "core"], "left_semi").dropDuplicates(["anchor", "piece", "whole"])
-        level -= 1
-        # Distances from lo down to hi are cut where the bit of the new level falls.
-        edge = F.col("back") - F.shiftleft(F.shiftright(F.col("back") - F.col("lo"), level), level)
-        parts = F.array(
-            F.struct(F.col("lo").alias("lo"), F.least("hi", edge).alias("hi")),
-            F.struct((edge + 1).alias("lo"), F.col("hi").alias("hi")),
-        )
-        state = cut(open_.select("anchor", "span", "back", "bytes", F.explode(parts).alias("p")).select("anchor", "span", "back", "bytes", "p.lo", "p.hi").filter("lo <= hi"))
-        if state.isEmpty():
-            break
-    return found.groupBy("anchor", "span").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-
-
-# --- the whole --------------------------------------------------------------------------------------
-
-
 def _contexts(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"key": pa.int64(), "span": pa.int64(), "kinds": pa.int64(), "text": pa.binary()}
         for b in batches:
             for text, items in zip(b.column("text"), b.column("wanted"), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                rows = [(x["anchor"], x["span"], x["n"], x["back"], raw[x["lo"] : x["lo"] + x["n"] - 1 + length]) for x in items.as_py()]
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "span", "n", "back", "bytes"])
+                raw = text.as_buffer().to_pybytes()
+                rows = [(x["key"], x["span"], x["kinds"], raw[x["lo"] : x["lo"] + x["n"] - 1 + length]) for x in items.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
     return run
 
 
 def _split(docs: DataFrame, few: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with their row of ``few``, the others); ``few``: doc_id, version and more, one row of each.
+    """(texts that ``few`` names by k and c, the others).
 
-    Only the keys (16 bytes each, a bounded number) are broadcast; the rows that
-    they leave meet the rest of ``few`` by shuffle.
+    Only the keys k (8 bytes each, a bounded number) are broadcast, or both sides
+    are shuffled; a clash of k alone is told apart by c when the rows meet ``few``.
     """
-    few = cut(few.withColumnsRenamed({"doc_id": "w_id", "version": "w_version"}))
-    keys = bounded(few.select("w_id", "w_version"), MOST_BROADCAST)
-    same = lambda k: docs["doc_id"].eqNullSafe(k["w_id"]) & (docs["version"] == k["w_version"])
-    held = docs.join(keys, same(keys), "left_semi")
-    held = held.join(few, held["doc_id"].eqNullSafe(few["w_id"]) & (held["version"] == few["w_version"]))
-    return held.drop("w_id", "w_version"), docs.join(keys, same(keys), "left_anti")
+    keys = bounded(few.select("k").distinct(), MOST_BROADCAST)
+    return docs.join(keys, "k", "left_semi"), docs.join(keys, "k", "left_anti")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, span, n, back, bytes) of the wanted runs, read again from the documents that hold them."""
-    by_doc = wanted.groupBy("at.doc_id", "at.version").agg(F.collect_list(F.struct(F.col("at.lo").alias("lo"), "n", "anchor", "span", "back")).alias("wanted"))
-    held, _ = _split(docs, by_doc)
-    return held.select("text", "wanted").mapInArrow(tk.frugal(_contexts(length)), "anchor bigint, span bigint, n int, back int, bytes binary")
-
-
-def _hits(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, version, ranges): the starts of repeated strings of each document that has any."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.mapInArrow(tk.frugal(_runs(length)), f"doc_id {kind}, version bigint, items array<{_ITEM}>"))
-    each = rows.select("doc_id", "version", F.explode("items").alias("i")).select("doc_id", "version", "i.*")
-    again = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    red = cut(each.join(bounded(cut(again), MOST_BROADCAST), "anchor", "left_semi"))
-    stats = red.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.min(F.struct("doc_id", "version", "lo")).alias("at"))
-    stats = cut(stats)
-    unclear = stats.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("single")).filter("kinds > 1 AND single > 0")
-    wanted = cut(stats.join(unclear.select("anchor", "kinds"), "anchor").withColumn("back", F.lit(0)))
-    calm = _fetch(docs, wanted.filter(F.col("kinds") <= MOST), length)
-    calm = calm.select("anchor", "span", "bytes").repartition("anchor").sortWithinPartitions("anchor", "span").mapInArrow(tk.frugal(_sorted(length)), _FOUND)
-    whole = stats.filter("c > 1").select("anchor", "span", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("ranges"))
-    single = stats.filter("c = 1").select("anchor", "span")
-    part = calm
-    hot = wanted.filter(F.col("kinds") > MOST)
-    if not hot.isEmpty():
-        part = part.union(_hot(_placed(_fetch(docs, hot, length), length), length))
-    part = part.join(single, ["anchor", "span"], "left_semi")
-    flat = red.join(whole.union(part), ["anchor", "span"]).select("doc_id", "version", "lo", F.explode("ranges").alias("r"))
-    return flat.groupBy("doc_id", "version").agg(F.collect_set(F.struct((F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))).alias("ranges"))
-
-
-def _placed(texts: DataFrame, length: int) -> DataFrame:
-    """Sets ``back``, the distance of the anchor from the first start."""
+    """(key, span, kinds, text) of the wanted pieces, cut from one copy of each text that holds some."""
+    by = wanted.groupBy("at.k", "at.c").agg(F.collect_list(F.struct(F.col("at.lo").alias("lo"), F.col("at.n").alias("n"), "key", "span", "kinds")).alias("wanted"))
+    by = cut(by)
+    held = _split(docs.select("k", "c", "text"), by)[0].groupBy("k", "c").agg(F.first("text").alias("text"))
+    return held.join(by.hint("merge"), ["k", "c"]).select("text", "wanted").mapInArrow(tk.frugal(_contexts(length)), "key bigint, span bigint, kinds bigint, text binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            back = [int(anchors(np.frombuffer(t[:length], np.uint8), length, GRAM)[0][0]) for t in b.column("bytes").to_pylist()]
-            cols = [pa.array(back, pa.int32()) if n == "back" else b.column(n) for n in b.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
-
-    return texts.mapInArrow(run, "anchor bigint, span bigint, n int, back int, bytes binary")
 
+def repeats(docs: DataFrame, length: int, block: int | None = None) -> DataFrame:
+    """(k, c, ranges): the first and last starts of runs of repeated strings, of each text that has any.
 
-def _kept(length: int, with_text: bool) -> Callable:
+    ``docs``: k and c (bigint, equal for equal texts only) and text, a string or binary.
+    """
+    block = block or -(-(length - GRAM + 1) // BLOCKS)
+    rows = cut(docs.mapInArrow(tk.frugal(_pieces(length, block)), "k bigint, c bigint, lo array<int>, n array<int>, key array<bigint>, span array<bigint>"))
+    each = rows.select("k", "c", F.inline(F.arrays_zip("lo", "n", "key", "span")))
+    again = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"))
+    red = cut(each.join(again.hint("merge"), "key", "left_semi"))
+    stats = cut(red.groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "c", "lo", "n")).alias("at")))
+    unclear = cut(stats.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("times") == 1).alias("single")).filter("kinds > 1 AND single > 0").drop("single"))
+    texts = _fetch(docs, stats.join(unclear.hint("merge"), "key"), length)
+    hot = block > 1 and not unclear.filter(F.col("kinds") > MOST).isEmpty()
+    texts = cut(texts) if hot else texts
+    calm = texts.filter(F.col("kinds") <= MOST) if hot else texts
+    part = calm.select("key", "span", "text").repartition("key").sortWithinPartitions("key", "span").mapInArrow(tk.frugal(_sorted(length)), f"key bigint, span bigint, ranges {_SQL_RANGES}")
+    if hot:
+        finer = texts.filter(F.col("kinds") > MOST).select(F.col("key").alias("k"), F.col("span").alias("c"), "text")
+        part = part.union(repeats(finer, length, -(-block // FINER)).select(F.col("k").alias("key"), F.col("c").alias("span"), "ranges"))
+    whole = stats.filter("times > 1").select("key", "span", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"))).alias("ranges"))
+    part = part.join(stats.filter("times = 1").select("key", "span").hint("merge"), ["key", "span"], "left_semi")
+    flat = red.join(whole.union(part).hint("merge"), ["key", "span"]).select("k", "c", "lo", F.explode("ranges").alias("r"))
+    return flat.groupBy("k", "c").agg(F.collect_set(F.struct((F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))).alias("ranges"))
+
+
+def _covered(raw: bytes, ranges: list[dict] | None, length: int) -> np.ndarray:
+    edge = np.zeros(len(raw) + 1, np.int64)
+    if ranges:
+        np.add.at(edge, [r["a"] for r in ranges], 1)
+        np.add.at(edge, [r["b"] + length for r in ranges], -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _bytes(text: pa.Scalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
+def _kept(raw: bytes, cover: np.ndarray) -> bytes:
+    return np.frombuffer(raw, np.uint8)[~cover].tobytes() if cover.any() else raw
+
+
+def _measured(length: int, passage: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, gone, spans, sha, texts = [], [], [], [], []
-            for text, ranges in zip(b.column("text"), b.column("ranges").to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                kept, count = raw, 0
-                if ranges:
-                    edge = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(edge, [r["a"] for r in ranges], 1)
-                    np.add.at(edge, [r["b"] + length for r in ranges], -1)
-                    cover = np.cumsum(edge)[:-1] > 0
-                    count = int((np.diff(np.concatenate([[0], cover.astype(np.int8)])) == 1).sum())
-                    kept = np.frombuffer(raw, np.uint8)[~cover].tobytes()
+            for text, ranges, short in zip(b.column("text"), b.column("long").to_pylist(), b.column("ranges").to_pylist(), strict=True):
+                raw = _bytes(text)
+                cover = _covered(raw, ranges, length)
+                kept = _kept(raw, cover)
                 size.append(len(raw))
                 gone.append(len(raw) - len(kept))
-                spans.append(count)
+                spans.append(int((np.diff(np.concatenate([[0], cover.astype(np.int8)])) == 1).sum()))
                 sha.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode("utf-8", "ignore") if with_text else None)
-            rest = [n for n in b.schema.names if n not in ("text", "ranges")]
+                texts.append(_kept(raw, _covered(raw, short, passage)).decode("utf-8", "ignore"))
             out = {"n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            out |= {"kept_text": pa.array(texts, pa.string())} if with_text else {}
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), *out.values()], names=[*rest, *out])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out.values(), pa.array(texts, pa.string())], names=["doc_id", *out, "passage_free_text"])
 
     return run
 
 
-_OUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+def _cleaned(length: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [_kept(raw := _bytes(t), _covered(raw, r, length)).decode("utf-8", "ignore") for t, r in zip(b.column("text"), b.column("ranges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.string())], names=["rest", "text"])
 
+    return run
 
-def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """The rows with the starts of their repeated strings."""
-    named = small_batches(docs).withColumn("version", F.xxhash64("text"))
-    held, rest = _split(named, _hits(named.select("doc_id", "version", "text"), length))
-    return held.unionByName(rest.withColumn("ranges", F.lit(None).cast("array<struct<a:int,b:int>>")))
 
+def _regions(length: int, passage: int) -> Callable:
+    """The stretches of a text in which a string of ``length`` bytes may repeat: all its strings of ``passage`` bytes do."""
 
-def measure(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, c, copies, text, ranges in zip(*(b.column(n).to_pylist() for n in ("k", "c", "copies")), b.column("text"), b.column("ranges").to_pylist(), strict=True):
+                raw = _bytes(text)
+                edge = np.zeros(len(raw) + 2, np.int64)
+                np.add.at(edge, [r["a"] for r in ranges], 1)
+                np.add.at(edge, [r["b"] + 1 for r in ranges], -1)
+                hit = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)]))
+                found = [(int(a), raw[a : e - 1 + passage]) for a, e in zip(np.flatnonzero(hit == 1), np.flatnonzero(hit == -1), strict=True) if e - a > length - passage]
+                if found:
+                    at, parts = zip(*found, strict=True)
+                    same = [pa.array([x] * len(at), pa.int64()) for x in (k, c, copies)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(at, pa.int32()), pa.array(parts, pa.binary())], names=["dk", "dc", "copies", "at", "text"])
+
+    return run
+
+
+def longer(docs: DataFrame, found: DataFrame, passage: int, length: int) -> DataFrame:
+    """(k, c, ranges) for ``length``, from those (``found``) for the shorter ``passage``: only stretches that may hold such strings are sorted again."""
+    held = _split(docs.select("k", "c", "text"), found)[0].groupBy("k", "c").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).join(found.hint("merge"), ["k", "c"])
+    regions = held.mapInArrow(tk.frugal(_regions(length, passage)), "dk bigint, dc bigint, copies bigint, at int, text binary")
+    regions = cut(regions.withColumns({"k": F.xxhash64("text"), "c": F.hash("text").cast("bigint")}))
+    flat = regions.drop("text").join(repeats(regions.select("k", "c", "text"), length).hint("merge"), ["k", "c"]).select("dk", "dc", "at", F.explode("ranges").alias("r"))
+    # One text stands for its copies, which repeat all of it.
+    copied = regions.filter("copies > 1").select("dk", "dc", "at", F.struct(F.lit(0).alias("a"), (F.octet_length("text") - length).alias("b")).alias("r"))
+    flat = flat.union(copied)
+    moved = F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))
+    return flat.groupBy(F.col("dk").alias("k"), F.col("dc").alias("c")).agg(F.collect_set(moved).alias("long"))
+
+
+def _keyed(docs: DataFrame, rest: list[str]) -> DataFrame:
+    """(rest, text, k, c): the columns of the caller in one struct, and 96 bits of hashes that know a text."""
+    packed = small_batches(docs).select(F.struct(*[docs[c] for c in rest]).alias("rest") if rest else F.struct(F.lit(0).alias("none")).alias("rest"), docs["text"].alias("text"))
+    return packed.withColumns({"k": F.xxhash64("text"), "c": F.hash("text").cast("bigint")})
+
+
+def _met(docs: DataFrame, found: DataFrame, lists: list[str]) -> DataFrame:
+    """The rows of ``docs`` with the ``lists`` of their texts, null where there are none."""
+    held, rest = _split(docs, found)
+    none = {c: F.lit(None).cast(_SQL_RANGES) for c in lists}
+    return held.join(found.hint("merge"), ["k", "c"], "left").select(*docs.columns, *lists).unionByName(rest.withColumns(none))
+
+
+def measure(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, for ``length``.
+
+    After them passage_free_text: the text without the strings of the shorter
+    length ``passage`` that also start elsewhere (halves of cut characters go too).
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_ranges(docs.select("doc_id", "text"), length).select("doc_id", "text", "ranges").mapInArrow(tk.frugal(_kept(length, False)), f"doc_id {kind}, {_OUT}")
+    keyed = _keyed(docs.select("doc_id", "text"), ["doc_id"])
+    short = cut(repeats(keyed.select("k", "c", "text"), passage))
+    found = short.join(longer(keyed, short, passage, length).hint("merge"), ["k", "c"], "left")
+    held = _met(keyed, cut(found), ["ranges", "long"]).select("rest.doc_id", "text", "ranges", "long")
+    out = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, passage_free_text string"
+    return held.mapInArrow(tk.frugal(_measured(length, passage)), out)
 
 
 def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows in the columns they came in, repeated bytes removed; halves of cut characters go too."""
+    """The rows in the columns they came in, repeated bytes removed; halves of cut characters go too, n_chars follows."""
     others = [c for c in docs.columns if c != "text"]
-    held = _with_ranges(docs, length)
-    packed = held.select(F.struct(*[held[c] for c in others]).alias("rest"), "text", "ranges")
-    done = packed.mapInArrow(tk.frugal(_kept(length, True)), f"rest {packed.schema['rest'].dataType.simpleString()}, {_OUT}, kept_text string")
-    texts = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
+    keyed = _keyed(docs, others)
+    found = cut(repeats(keyed.select("k", "c", "text"), length))
+    packed = _met(keyed, found, ["ranges"]).select("rest", "text", "ranges")
+    done = packed.mapInArrow(tk.frugal(_cleaned(length)), f"rest {packed.schema['rest'].dataType.simpleString()}, text string")
+    texts = {"text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
     return done.select(*[texts.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 

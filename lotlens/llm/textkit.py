@@ -17,29 +17,42 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
-
-
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2^64, grown on demand."""
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        n = max(n, CHUNK_BYTES + 65536)
-        base = np.full(n, _BASE, np.uint64)
-        base[0] = 1
-        inv = np.full(n, np.uint64(_inverse(int(_BASE))), np.uint64)
-        inv[0] = 1
-        _POWERS, _INVERSES = np.multiply.accumulate(base), np.multiply.accumulate(inv)
-    return _POWERS[:n], _INVERSES[:n]
+#: Odd base of the rough hashes modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+#: The prime 2^61 - 1 and a base drawn at random below it, of the span hashes.
+_PRIME = (1 << 61) - 1
+_DRAWN = 0x0B5297A4D1E68C3F
+_P, _M31, _M30, _M29, _M32 = (np.uint64(x) for x in (_PRIME, (1 << 31) - 1, (1 << 30) - 1, (1 << 29) - 1, (1 << 32) - 1))
+#: Most bytes whose sum stays below 2^63: 2^8 * 2^31 * 2^24.
+_SUMMED = 1 << 24
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _table(name: str, base: int, n: int, product: Callable) -> np.ndarray:
+    """The first ``n`` powers of ``base``, grown on demand."""
+    held = _TABLES.get(name)
+    if held is None or len(held) < n:
+        want = max(n, CHUNK_BYTES + 65536)
+        held = np.ones(1, np.uint64)
+        while len(held) < want:
+            step = product(held[-1:], np.array([base], np.uint64))
+            held = np.concatenate([held, product(held, step)])[:want]
+        _TABLES[name] = held
+    return held[:n]
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below 2^61."""
+    ah, al, bh, bl = a >> np.uint64(32), a & _M32, b >> np.uint64(32), b & _M32
+    mid, low = ah * bl + al * bh, al * bl
+    r = (ah * bh << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & _M29) << np.uint64(32)) + (low >> np.uint64(61)) + (low & _P)
+    return _reduced(r)
+
+
+def _reduced(r: np.ndarray) -> np.ndarray:
+    r = (r & _P) + (r >> np.uint64(61))
+    return np.where(r >= _P, r - _P, r)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,12 +65,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; a null has no bytes."""
+    """(bytes, offsets) of a string or binary column; a null has no bytes."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if len(col) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    if not pa.types.is_large_string(col.type):
+    if pa.types.is_binary(col.type):
+        col = col.cast(pa.large_binary())
+    elif not pa.types.is_large_string(col.type) and not pa.types.is_large_binary(col.type):
         col = col.cast(pa.large_string())
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
@@ -105,18 +120,47 @@ def word_bounds(data: np.ndarray, off: np.ndarray, kind: np.ndarray = WORD) -> t
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal spans anywhere."""
+def rough_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each span of bytes, equal for equal spans; other long spans may share it, so it only deals out work."""
     n = len(data)
     if n == 0 or len(starts) == 0:
         return np.zeros(len(starts), np.uint64)
-    power, inverse = _powers(n + 1)
+    power, inverse = _table("rough", _BASE, n + 1, np.multiply), _table("back", pow(_BASE, -1, 1 << 64), n + 1, np.multiply)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=run[1:])
     h = (run[ends] - run[starts]) * inverse[starts]
     return mix(h + (ends - starts).astype(np.uint64) * _STEP)
 
 
+def _spanned(low: np.ndarray, high: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the spans modulo the prime; the running sums may wrap, a span of ``_SUMMED`` bytes does not."""
+    if len(starts) and int((ends - starts).max()) > _SUMMED:
+        cut = np.minimum(starts + _SUMMED, ends)
+        return _reduced(_spanned(low, high, starts, cut) + _spanned(low, high, cut, ends))
+    a, b = low[ends] - low[starts], high[ends] - high[starts]
+    return _reduced(_reduced(a) + (b >> np.uint64(30)) + ((b & _M30) << np.uint64(31)))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, equal for equal spans anywhere: a polynomial modulo 2^61 - 1 at a drawn base.
+
+    Two spans of n bytes share it with probability n / 2^61 over the draw.
+    """
+    n = len(data)
+    if n == 0 or len(starts) == 0:
+        return np.zeros(len(starts), np.uint64)
+    _table("drawn", _DRAWN, n, _times)
+    back = _table("undrawn", pow(_DRAWN, -1, _PRIME), n + 1, _times)
+    if len(_TABLES.get("low", ())) < n:
+        _TABLES["low"], _TABLES["high"] = _TABLES["drawn"] & _M31, _TABLES["drawn"] >> np.uint64(31)
+    x = data.astype(np.uint64) + np.uint64(1)
+    low, high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(x * _TABLES["low"][:n], out=low[1:])
+    np.cumsum(x * _TABLES["high"][:n], out=high[1:])
+    h = _times(_spanned(low, high, starts, ends), back[starts])
+    return mix(h + (ends - starts).astype(np.uint64) * _STEP)
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray, kind: np.ndarray = WORD, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each document with a closing total)."""
     starts, ends, first = word_bounds(data, off, kind)

@@ -25,9 +25,18 @@ def brute(texts, length):
     return out
 
 
+def brute_text(texts, length):
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    gone = [{j for i in range(len(r) - length + 1) if seen[r[i : i + length]] > 1 for j in range(i, i + length)} for r in raws]
+    return [bytes(x for j, x in enumerate(r) if j not in g).decode("utf-8", "ignore") for r, g in zip(raws, gone)]
+
+
 def measured(spark, texts, **kw):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, n_bytes int")
-    return [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.measure(docs, **kw).orderBy("doc_id").collect()]
+    rows = sd.measure(docs, **kw).orderBy("doc_id").collect()
+    assert [r.passage_free_text for r in rows] == brute_text(texts, sd.PASSAGE)
+    return [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
 
 
 def corpus(seed=5):
@@ -61,7 +70,7 @@ def test_measure_matches_brute_force(spark, monkeypatch):
     assert measured(spark, texts) == brute(texts, 400)
 
 
-@pytest.mark.parametrize("most", [2, 10_000])
+@pytest.mark.parametrize("most", [4, 10_000])
 def test_hot_and_calm_buckets_agree(spark, monkeypatch, most):
     monkeypatch.setattr(sd, "MOST", most)
     texts = corpus(8)[:160]
@@ -82,3 +91,12 @@ def test_nulls_repeats_empty_and_clean(spark):
     assert got == [("1", 900, 1), ("1", 900, 1), ("2", 0, 0), ("None", 900, 1)]
     assert sd.measure(docs.limit(0)).count() == 0
     assert sd.clean(docs).columns == ["doc_id", "text"] and sd.clean(docs).count() == 4
+
+
+def test_columns_of_the_caller_come_back(spark):
+    long = "".join(random.Random(2).choices("abcdefg ", k=900))
+    names = ["k", "c", "rest", "ranges", "long", "key", "span", "kinds", "version", "lo", "n", "times", "at", "wanted", "doc_id", "n_chars"]
+    docs = spark.createDataFrame([(*range(len(names)), t) for t in (long, long, "short", None)], ", ".join(f"{n} bigint" for n in names) + ", text string")
+    got = sd.clean(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.text, r.n_chars, *(r[n] for n in names[:-1])) for r in got.collect()) == sorted((t, len(t), *range(len(names) - 1)) for t in ("", "", "short", ""))
