@@ -23,8 +23,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that also start elsewhere go."""
-    return suffix_dedup.clean(docs)
+    """Bytes of strings of ``suffix_dedup.PASSAGE`` bytes or more that also start elsewhere go."""
+    return suffix_dedup.clean(docs, suffix_dedup.PASSAGE)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
