@@ -111,10 +111,10 @@ def measure(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that hold no window of the benchmark, in the columns they came in."""
-    named = docs.withColumn("version", F.xxhash64("text"))
+    named = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).withColumn("version", F.xxhash64("text"))
     found = hits(named.select("doc_id", "version", "text"), benchmark.select("item_id", "text"))
     found = bounded(cut(found.select(F.col("doc_id").alias("h_id"), F.col("version").alias("h_version"))), MOST_PRINTS)
-    return named.join(found, named["doc_id"].eqNullSafe(found["h_id"]) & (named["version"] == found["h_version"]), "left_anti").select(*docs.columns)
+    return named.join(found, named["doc_id"].eqNullSafe(found["h_id"]) & (named["version"] == found["h_version"]), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

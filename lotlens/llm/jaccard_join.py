@@ -113,9 +113,9 @@ def keep_row(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     whatever their doc_ids are; of rows that are equal throughout one stays.
     Rows without words are in no class and stay.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [docs[c] for c in docs.columns if c != "text"]
     key = F.unhex(F.concat(F.md5(F.coalesce("text", F.lit(""))), F.md5(F.to_json(F.struct(*others)))))
-    keyed = docs.withColumn("row_key", key)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), key.alias("row_key"))
     rows, many, linked = _linked(keyed.select("doc_id", "text", "row_key"), threshold)
     told = many.select("digest").join(linked.select("digest", "root"), "digest", "full").select("digest", F.coalesce("root", "digest").alias("root"))
     told = bounded(cut(told), nd.MOST_BROADCAST)
@@ -128,9 +128,9 @@ def keep_row(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     kept = keyed.join(bounded(gone.select("row_key"), nd.MOST_BROADCAST // 2), "row_key", "left_anti")
     again = gone.filter("stays").select("row_key")
     if not again.isEmpty():
-        same = keyed.join(bounded(again, nd.MOST_BROADCAST // 2), "row_key", "left_semi").groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
-        kept = kept.select(*docs.columns).union(same.select("row.*"))
-    return kept.select(*docs.columns)
+        same = keyed.join(bounded(again, nd.MOST_BROADCAST // 2), "row_key", "left_semi").groupBy("row_key").agg(F.first("row").alias("row"))
+        kept = kept.select("row").union(same.select("row"))
+    return kept.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

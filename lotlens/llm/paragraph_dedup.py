@@ -1,23 +1,29 @@
-"""Paragraph dedup by MinHash banding.
-
-With ``whole``, as in the query, every line with words is in a paragraph: a line
-of ``K`` words or more is one, and so are the shorter lines of a run together (a
-run ends at a longer line or one without words). Without it a paragraph is a line
-of ``MIN_WORDS`` words or more and shorter lines are left alone. Paragraphs of
-fewer than ``K`` words have one shingle, so they are matched by all their words.
-Paragraphs whose 5-word shingles have a Jaccard similarity of 0.8 or
-more are linked (see ``near_dup``: bands of ``ROWS`` minima find the
-candidates, every pair of a candidate group is verified exactly), links are
-joined into components, and of each component the first paragraph (smallest
-doc_id, then place) stays. A set too small to reach the threshold with any other
-set has no bands: it is matched exactly.
-
-Bands: 10 of 3 minima, tuned for recall: a pair at 0.8 exactly misses all of
-them with probability 8e-4, one at 0.9 with 2e-6.
+"""Paragraph dedup by MinHash banding over content-cut paragraphs.
+
+A shared passage seldom fills a line, so paragraphs are cut by content: a word
+begins a paragraph if the hash of it and the next word is the least among
+``REACH`` words on either side (the first of equals), and a paragraph of more than
+``LONGEST`` words is cut again after each ``LONGEST``. Equal passages are therefore
+cut alike wherever they stand, within a line or across lines, but for some
+``REACH`` words at their ends. The first and the last paragraph of a text join
+their neighbours if they have at most ``REACH`` words. Every word is in exactly one
+paragraph.
+
+Paragraphs whose 5-word shingles have a Jaccard similarity of 0.8 or more are
+linked (bands of ``ROWS`` minima find the candidates, ``near_dup`` verifies the
+pairs of a candidate group exactly), links are joined into components, and of
+each component the first paragraph (smallest doc_id, then place) stays. Equal
+sets are one class before any pair is compared. A set too small to reach the
+threshold with any other set has no bands: it is matched exactly. Paragraphs of
+fewer than ``K`` words have one shingle, so all their words are matched.
+
+Bands: 5 of 2 minima, tuned for recall: a pair at 0.8 exactly misses all of
+them with probability 0.6 %, one at 0.9 with 0.02 %; equal sets never.
 
 Defined results: a null or empty text has no paragraphs; rows with equal ids
-and texts count as one document and get equal rows; a null doc_id comes first; an empty table gives an
-empty result; other columns are ignored by ``measure`` and kept by ``clean``.
+and texts count as one document and get equal rows; a null doc_id comes first;
+an empty table gives an empty result; other columns are ignored by ``measure``
+and kept by ``clean``, whatever their names are.
 """
 
 from __future__ import annotations
@@ -26,134 +32,196 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import near_dup as nd, textkit as tk
 from .cluster import bounded, cut, small_batches
-from .quality_rules import _lines
+from .graph import components
 
-K, BANDS, ROWS = 5, 10, 3
-MIN_WORDS = 20
+K, BANDS, ROWS = 5, 5, 2
+REACH, LONGEST = 8, 64
 
 
-def _paragraphs(d: np.ndarray, o: np.ndarray, whole: bool) -> tuple[np.ndarray, ...]:
-    """(document, first line within it, lines, shingles, offsets of the shingles) of each paragraph."""
-    starts, lines = _lines(d, o)
-    words, first = tk.word_hashes(d, starts)
+def cuts(words: np.ndarray, first: np.ndarray, reach: int = REACH, longest: int = LONGEST) -> np.ndarray:
+    """First words of the paragraphs, in order. ``words``: hashes; ``first``: first word of each document with a closing total."""
+    n = len(words)
+    if n == 0:
+        return np.zeros(0, np.int64)
     count = np.diff(first)
-    if whole:
-        short = (count > 0) & (count < K)
-        head = short.copy()  # a short line that goes on with no run
-        head[1:] &= ~short[:-1]
-        begin = lines[:-1][np.diff(lines) > 0]
-        head[begin] = short[begin]
-        at = np.flatnonzero((count >= K) | head)
-        ends = np.append(np.flatnonzero(~short | head), len(count))
-        span = ends[np.searchsorted(ends, at, "right")] - at
-    else:
-        at = np.flatnonzero(count >= MIN_WORDS)
-        span = np.ones(len(at), np.int64)
-    size = first[at + span] - first[at]
-    off = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(first[at] - off[:-1], size) + np.arange(off[-1])
-    h, off = tk.shingles(words[take], off, K)
-    doc = np.searchsorted(lines, at, "right") - 1
-    return doc, at - lines[doc], span, h, off
-
-
-def _prints(whole: bool, threshold: float) -> Callable:
-    @tk.frugal
+    begin, end = np.repeat(first[:-1], count), np.repeat(first[1:], count)
+    place = np.arange(n)
+    after = np.concatenate([words[1:], words[:1]])
+    after[first[1:][count > 0] - 1] = 0
+    gram = tk.mix(words + tk.mix(after))
+    least = np.ones(n, bool)
+    for j in range(1, reach + 1):
+        if j >= n:
+            break
+        least[j:] &= (place[j:] - j < begin[j:]) | (gram[:-j] > gram[j:])
+        least[:-j] &= (place[:-j] + j >= end[:-j]) | (gram[j:] >= gram[:-j])
+    least &= (place - begin > reach) & (end - place > reach)
+    least[first[:-1][count > 0]] = True
+    at = np.flatnonzero(least)
+    size = np.diff(np.append(at, n))
+    more = (size - 1) // longest + 1
+    step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    return np.repeat(at, more) + step * longest
+
+
+class _Cut:
+    """The paragraphs of a chunk: document, bytes from lo to hi within it, shingles and their offsets."""
+
+    def __init__(self, d: np.ndarray, o: np.ndarray):
+        starts, ends, first = tk.word_bounds(d, o)
+        words = tk.span_hashes(tk.LOWER[d], starts, ends)
+        at = cuts(words, first)
+        self.doc = np.searchsorted(first, at, "right") - 1
+        close = np.append(at[1:], len(words))
+        last = np.ones(len(at), bool)
+        last[:-1] = self.doc[1:] != self.doc[:-1]
+        self.lo = starts[at] - o[self.doc]
+        self.hi = self.lo.copy()
+        self.hi[:-1] = np.where(last[:-1], 0, self.lo[1:])
+        self.hi[last] = ends[close[last] - 1] - o[self.doc[last]]
+        self.h, self.off = tk.shingles(words, np.append(at, len(words)), K)
+
+
+def _digests(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers of each set, whatever its order: sums of its mixed members."""
+    out = []
+    for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(h ^ salt))])
+        out.append(tk.mix(total[off[1:]] - total[off[:-1]] + np.diff(off).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def _prints(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tk.buffers(b.column("text"))
             for i, j, d, o in tk.chunks(data, off):
-                doc, place, span, h, at = _paragraphs(d, o, whole)
-                keys = nd.bands(tk.minhashes(h, at, BANDS * ROWS), ROWS)
-                size = np.diff(at)
+                c = _Cut(d, o)
+                size = np.diff(c.off)
                 near = size >= threshold * (size + 1) - 1e-9  # the best match of another set shares all of one and has one more
-                digests = [tk.digest(h[at[k] : at[k + 1]].tobytes()) for k in range(len(doc))]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(near * BANDS)]).astype(np.int32)), pa.array(keys[near].ravel()))
-                items = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(span.astype(np.int32)), pa.array(digests, pa.binary()), lists], names=["place", "span", "digest", "bands"])
-                ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-                keep = [b.column(c).slice(i, j - i) for c in ("doc_id", "version")]
-                yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "version", "items"])
+                keys = nd.bands(tk.minhashes(c.h, c.off, BANDS * ROWS), ROWS)
+                one, two = _digests(c.h, c.off)
+                ends = np.searchsorted(c.doc, np.arange(j - i + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (c.lo.astype(np.int32), c.hi.astype(np.int32), one, two)]
+                lists.append(pa.ListArray.from_arrays(pa.array((ends * BANDS).astype(np.int32)), pa.array(keys.ravel(), mask=np.repeat(~near, BANDS))))
+                keep = [b.column(n).slice(i, j - i) for n in ("doc_id", "version")]
+                yield pa.RecordBatch.from_arrays([*keep, *lists], names=["doc_id", "version", "lo", "hi", "one", "two", "bands"])
 
     return run
 
 
-def _grams(whole: bool) -> Callable:
-    @tk.frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = tk.buffers(b.column("text"))
-            for _, _, d, o in tk.chunks(data, off):
-                _, _, _, h, at = _paragraphs(d, o, whole)
-                sets = [h[at[k] : at[k + 1]].tobytes() for k in range(len(at) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([tk.digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "grams"])
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for text, items in zip(b.column("text"), b.column("wanted"), strict=True):
+            raw = text.as_buffer().to_pybytes()
+            rows = [(x["one"], x["two"], x["times"], x["root"], raw[x["lo"] : x["hi"]]) for x in items.as_py()]
+            d = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+            o = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])])
+            h, at = tk.shingles(*tk.word_hashes(d, o), K)
+            sets = [h[at[k] : at[k + 1]].tobytes() for k in range(len(rows))]
+            digests = [np.array(r[:2], ">i8").tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(sets, pa.binary())],
+                names=["digest", "times", "root", "grams"],
+            )
 
-    return run
+
+def _number(digest: Column, at: int) -> Column:
+    """Eight bytes of a digest as a number."""
+    return F.conv(F.hex(F.substring(digest, at, 8)), 16, -10).cast("bigint")
 
 
-def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(documents, repeated paragraphs): doc_id and version of every document; doc_id, version, place, span (lines), class_id and removed.
+def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
+    """doc_id, version, lo, hi, class_id and removed of every repeated paragraph.
 
-    ``docs``: doc_id, version, text. class_id is the smallest doc_id of the component.
+    ``docs``: doc_id, version, text. lo and hi are bytes of the text, class_id is
+    the smallest doc_id of the component.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(small_batches(docs).mapInArrow(_prints(whole, threshold), f"doc_id {kind}, version bigint, items array<struct<place:int,span:int,digest:binary,bands:array<bigint>>>"))
-    every = rows.select("doc_id", "version", F.explode("items").alias("i"))
-    classes = cut(every.groupBy("i.digest").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.count(F.lit(1)).alias("times"), F.first("i.bands").alias("bands")))
-    near = cut(nd.candidates(classes))
-    known = classes.select("digest", "first", "times").withColumn("node", nd.node_of())
-    members = cut(known.join(near, "node").select("digest", "first", "times", "root"))
-    wanted = bounded(cut(members.select(F.col("first.version").alias("version")).distinct()), nd.MOST_BROADCAST)
-    grams = docs.join(wanted, "version", "left_semi").select("text").mapInArrow(_grams(whole), "digest binary, grams binary")
-    sets = members.select("digest", "times", "root").join(grams, "digest").groupBy("digest", "times", "root").agg(F.first("grams").alias("grams"))
-    linked = nd.links(sets.withColumn("sig", F.lit(None).cast("binary")), 0, threshold).select("digest", "root")
-    many = classes.filter("times > 1").select("digest")
-    told = many.join(linked, "digest", "full").select("digest", F.coalesce("root", "digest").alias("root"))
-    told = bounded(cut(told), nd.MOST_BROADCAST)
-    found = cut(every.select("doc_id", "version", "i.place", "i.span", "i.digest").join(told, "digest").select("doc_id", "version", "place", "span", "root"))
-    firsts = found.groupBy("root").agg(F.min(F.struct("doc_id", "place", "version")).alias("first"), F.min("doc_id").alias("class_id"))
-    firsts = bounded(cut(firsts), nd.MOST_BROADCAST)
-    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.place") == F.col("place")) & (F.col("first.version") == F.col("version"))
-    return rows.select("doc_id", "version", F.size("items").alias("paragraphs")), found.join(firsts, "root").select("doc_id", "version", "place", "span", "class_id", (~same).alias("removed"))
+    docs = small_batches(docs)
+    rows = cut(docs.mapInArrow(tk.frugal(_prints(threshold)), f"doc_id {kind}, version bigint, lo array<int>, hi array<int>, one array<bigint>, two array<bigint>, bands array<bigint>"))
+    every = rows.select("doc_id", "version", F.inline(F.arrays_zip("lo", "hi", "one", "two")))
+    many = cut(every.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("one", "two"))
+    # Bands name their paragraph by the first half of its digest; a clash only joins two groups that are then compared.
+    held = F.flatten(F.transform("one", lambda x: F.array_repeat(x, BANDS)))
+    banded = rows.select(F.inline(F.arrays_zip(F.col("bands").alias("band"), held.alias("node")))).filter("band IS NOT NULL")
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far").select("band", "hub")
+    hubs = bounded(cut(hubs), nd.MOST_BROADCAST)
+    near = cut(components(banded.join(hubs, "band").select(F.col("node").alias("u"), F.col("hub").alias("v"))))
+    members = every.join(bounded(near, nd.MOST_BROADCAST), every["one"] == near["node"]).groupBy("one", "two", "root").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("version", "lo", "hi")).alias("at"))
+    wanted = cut(members.groupBy("at.version").agg(F.collect_list(F.struct("one", "two", "times", "root", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))).alias("wanted")))
+    keys = bounded(wanted.select("version"), nd.MOST_BROADCAST)
+    texts = docs.select("version", "text").join(keys, "version", "left_semi").groupBy("version").agg(F.first("text").alias("text"))
+    sets = texts.join(wanted.hint("merge"), "version").select("text", "wanted").mapInArrow(tk.frugal(_grams), "digest binary, times bigint, root bigint, grams binary")
+    linked = nd.links(sets.withColumn("sig", F.lit(None).cast("binary")), 0, threshold)
+    linked = linked.select(_number(F.col("digest"), 1).alias("one"), _number(F.col("digest"), 9).alias("two"), _number(F.col("root"), 1).alias("r1"), _number(F.col("root"), 9).alias("r2"))
+    told = many.join(linked, ["one", "two"], "full").select("one", "two", F.coalesce("r1", "one").alias("r1"), F.coalesce("r2", "two").alias("r2"))
+    found = cut(every.join(cut(told).hint("merge"), ["one", "two"]).select("doc_id", "version", "lo", "hi", "r1", "r2"))
+    firsts = cut(found.groupBy("r1", "r2").agg(F.min(F.struct("doc_id", "lo", "version")).alias("first"), F.min("doc_id").alias("class_id")))
+    same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.lo") == F.col("lo")) & (F.col("first.version") == F.col("version"))
+    return found.join(firsts.hint("merge"), ["r1", "r2"]).select("doc_id", "version", "lo", "hi", "class_id", (~same).alias("removed"))
 
 
 def _by_doc(found: DataFrame) -> DataFrame:
+    spans = F.sort_array(F.collect_list(F.when(F.col("removed"), F.struct("lo", "hi"))))
     one = found.distinct().groupBy("doc_id", "version").agg(
-        F.count(F.lit(1)).alias("n_repeated"), F.count_if("removed").alias("n_removed"), F.sort_array(F.flatten(F.collect_list(F.when(F.col("removed"), F.sequence("place", F.col("place") + F.col("span") - 1))))).alias("removed"),
-        F.sort_array(F.collect_set("class_id")).alias("class_ids"),
+        F.count(F.lit(1)).alias("n_repeated"), F.count_if("removed").alias("n_removed"), spans.alias("spans"), F.sort_array(F.collect_set("class_id")).alias("class_ids"),
     )
-    return one.select(F.col("doc_id").alias("h_id"), F.col("version").alias("h_version"), "n_repeated", "n_removed", "removed", "class_ids")
+    return one.select(F.col("doc_id").alias("h_id"), F.col("version").alias("h_version"), "n_repeated", "n_removed", "spans", "class_ids")
+
 
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = []
+        for text, spans in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
+            raw, at, parts = text.as_buffer().to_pybytes() if text.is_valid else b"", 0, []
+            for s in spans or ():
+                parts.append(raw[at : s["lo"]])
+                at = s["hi"]
+            texts.append(b"".join([*parts, raw[at:]]).decode())
+        names = [n for n in b.schema.names if n not in ("spans", "text")]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
-def measure(docs: DataFrame, threshold: float = nd.THRESHOLD, whole: bool = False) -> DataFrame:
-    """Of every document: n_paragraphs, n_repeated, n_removed, the removed lines and the classes of its repeated paragraphs."""
-    named = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    rows, found = repeats(named, threshold, whole)
-    one = _by_doc(found)
-    held = rows.join(one, rows["doc_id"].eqNullSafe(one["h_id"]) & (rows["version"] == one["h_version"]), "left")
+
+def _judged(keyed: DataFrame, threshold: float) -> DataFrame:
+    """Every row of ``keyed`` (rest, doc_id, version, text) with what was found in it, nulls where nothing was."""
+    one = cut(_by_doc(repeats(keyed.select("doc_id", "version", "text"), threshold)))
+    same = keyed["doc_id"].eqNullSafe(one["h_id"]) & (keyed["version"] == one["h_version"])
+    keys = bounded(one.select("h_id", "h_version"), nd.MOST_BROADCAST)
+    key = keyed["doc_id"].eqNullSafe(keys["h_id"]) & (keyed["version"] == keys["h_version"])
+    held = keyed.join(keys, key, "left_semi").join(one.hint("merge"), same, "left").drop("h_id", "h_version")
+    rest = keyed.join(keys, key, "left_anti")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in one.schema if f.name not in ("h_id", "h_version")}
+    return held.unionByName(rest.withColumns(none))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"])
+    return docs.select(rest.alias("rest"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("version"), docs["text"].alias("text"))
+
+
+def measure(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
+    """Of every document: n_repeated and n_removed paragraphs, the classes of the repeated ones and the text that stays."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     zero = F.lit(0).cast("bigint")
-    return held.select(
-        "doc_id", F.col("paragraphs").cast("bigint").alias("n_paragraphs"), F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("n_removed", zero).alias("n_removed"),
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"), F.coalesce("class_ids", F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")).alias("class_ids"),
+    told = _judged(_keyed(docs.select("doc_id", "text")), threshold).select(
+        "doc_id", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("class_ids", F.array().cast(f"array<{kind}>")).alias("class_ids"), "spans", "text",
     )
+    return told.mapInArrow(tk.frugal(_kept), f"doc_id {kind}, n_repeated bigint, n_removed bigint, class_ids array<{kind}>, text string")
 
 
-def clean(docs: DataFrame, threshold: float = nd.THRESHOLD, whole: bool = False) -> DataFrame:
-    """The rows in the columns they came in, without removed paragraphs."""
-    named = docs.withColumn("version", F.xxhash64("text"))
-    _, found = repeats(named.select("doc_id", "version", "text"), threshold, whole)
-    one = bounded(cut(_by_doc(found.filter("removed")).select("h_id", "h_version", "removed")), nd.MOST_BROADCAST, "removed")
-    held = named.join(one, named["doc_id"].eqNullSafe(one["h_id"]) & (named["version"] == one["h_version"]), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("removed", s["i"]))["x"], "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    held = held.withColumn("text", text)
-    return held.select(*[F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+def clean(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
+    """The rows in the columns they came in, without removed paragraphs; n_chars follows, a null text becomes empty."""
+    held = _judged(_keyed(docs), threshold).select("rest", "spans", "text")
+    done = held.mapInArrow(tk.frugal(_kept), f"rest {held.schema['rest'].dataType.simpleString()}, text string")
+    texts = {"text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
+    return done.select(*[texts.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: every document, and every line with words."""
-    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True)
+    """op6: every document."""
+    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))

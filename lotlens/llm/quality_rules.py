@@ -191,14 +191,12 @@ def judge(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
 
 def clean(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
     """The kept documents in the columns they came in, boilerplate lines removed."""
-    cols = docs.columns
-    held = _with_boiler(docs.select("*"), **limits)
     extra = [f for f in docs.schema.fields if f.name != "text"]
-    packed = held.select(F.struct(*[held[f.name] for f in extra]).alias("rest"), held["text"], held["boiler"])
-    rest = T.StructType(extra).simpleString()
-    done = packed.mapInArrow(tk.frugal(_judged(depleted, True)), f"rest {rest}, {_OUT}, cleaned string").filter("kept")
+    packed = docs.select(F.struct(*[docs[f.name] for f in extra]).alias("rest"), docs["text"].alias("text"), docs["source"].alias("source"))
+    held = _with_boiler(packed, **limits).select("rest", "text", "boiler")
+    done = held.mapInArrow(tk.frugal(_judged(depleted, True)), f"rest {T.StructType(extra).simpleString()}, {_OUT}, cleaned string").filter("kept")
     texts = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("bigint")}
-    return done.select(*[texts.get(c, F.col("rest")[c]).alias(c) for c in cols])
+    return done.select(*[texts.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

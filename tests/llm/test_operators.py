@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotlens.llm import chat_format, decontaminate, html_text, paragraph_dedup, pieces, quality_model, quality_rules, queries, url_filter
+from lotlens.llm import chat_format, decontaminate, html_text, jaccard_join, paragraph_dedup, pieces, quality_model, quality_rules, queries, url_filter
 from lotlens.llm.cluster import cut
 from lotlens.llm.graph import components
 
@@ -177,22 +177,44 @@ def test_every_occurrence_has_skips_of_its_own():
         assert [pieces.decode(p, ids[at[k] : at[k + 1]].tolist()) for k in range(4)] == [t or "" for t in texts]
 
 
-def test_paragraphs_match_brute_force(spark):
-    from .test_near_dup import grams
+def paragraphs(texts):
+    """(document, words, bytes from, to) of every paragraph, word by word."""
+    out = []
+    for d, t in enumerate(texts):
+        raw = (t or "").encode()
+        data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        spans = [m.span() for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw.lower())]
+        if not spans:
+            continue
+        words = paragraph_dedup.tk.word_hashes(data, off)[0]
+        mix = paragraph_dedup.tk.mix
+        gram = [int(x) for x in mix(words + mix(np.append(words[1:], np.uint64(0))))]
+        n, reach = len(spans), paragraph_dedup.REACH
+        at = [0]
+        for i in range(reach + 1, n - reach):
+            if all(gram[j] > gram[i] for j in range(i - reach, i)) and all(gram[j] >= gram[i] for j in range(i + 1, i + reach + 1)):
+                at.append(i)
+        at = [j for i, e in zip(at, [*at[1:], n]) for j in range(i, e, paragraph_dedup.LONGEST)]
+        for i, e in zip(at, [*at[1:], n]):
+            out.append((d, [raw[x:y].lower() for x, y in spans[i:e]], spans[i][0], spans[e][0] if e < n else spans[n - 1][1]))
+    return out
 
+
+def test_paragraphs_match_brute_force(spark):
     rng = np.random.default_rng(2)
-    words = [f"w{i}" for i in range(300)]
-    base = [list(rng.choice(words, rng.integers(15, 60))) for _ in range(20)]
-    docs = []
+    words = [f"W{i}" for i in range(300)]
+    base = [list(rng.choice(words, rng.integers(15, 90))) for _ in range(14)]
+    texts = []
     for _ in range(60):
-        lines = []
+        parts = []
         for _ in range(rng.integers(0, 4)):
-            w = list(base[rng.integers(20)])
+            w = list(base[rng.integers(14)])
             for _ in range(rng.integers(0, 3)):
                 w[rng.integers(len(w))] = str(rng.choice(words))
-            lines.append(" ".join(w))
-        docs.append("\n".join(lines))
-    items = [(d, k, grams(x)) for d, t in enumerate(docs) for k, x in enumerate(t.split("\n")) if len(x.split()) >= 20]
+            parts.append(" ".join(w))
+        texts.append("-- " + rng.choice(["\n", ", é "]).join(parts) + ".")
+    texts += ["a a a " * 60, "a a a " * 60 + "b", "one", "One!", "", None]
+    items = [(d, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}, lo, hi) for d, w, lo, hi in paragraphs(texts)]
     root = list(range(len(items)))
 
     def find(k):
@@ -203,74 +225,65 @@ def test_paragraphs_match_brute_force(spark):
     linked = set()
     for a in range(len(items)):
         for b in range(a):
-            i = len(items[a][2] & items[b][2])
-            if i >= 0.8 * (len(items[a][2]) + len(items[b][2]) - i) - 1e-12:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-                linked |= {a, b}
-    want = {d: [0, []] for d in range(len(docs))}
-    for k in linked:
-        want[items[k][0]][0] += 1
-        if find(k) != k:
-            want[items[k][0]][1].append(items[k][1])
-    got = {r.doc_id: [r.n_repeated, r.removed_lines] for r in paragraph_dedup.measure(table(spark, docs)).collect()}
-    assert got == {d: [n, sorted(x)] for d, (n, x) in want.items()}
-
-
-def test_query_takes_short_lines(spark, tmp_path):
-    from .test_near_dup import grams
-
-    rng = np.random.default_rng(4)
-    words = [f"w{i}" for i in range(200)]
-    base = [list(rng.choice(words, n)) for n in (1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 19, 19, 25, 40)]
-    docs = []
-    for _ in range(70):
-        lines = []
-        for _ in range(rng.integers(0, 6)):
-            w = list(base[rng.integers(len(base))])
-            if rng.random() < 0.4:
-                w[rng.integers(len(w))] = str(rng.choice(words))
-            lines.append(" ".join(w) if rng.random() < 0.9 else rng.choice(["", " --"]))
-        docs.append("\n".join(lines))
-    items = []  # document, lines, shingles
-    for d, t in enumerate(docs):
-        run = []
-        for k, x in enumerate([*t.split("\n"), ""]):
-            n = len(re.findall("w[0-9]+", x))
-            if 0 < n < 5:
-                run.append((k, x))
-                continue
-            if run:
-                items.append((d, [i for i, _ in run], grams(" ".join(y for _, y in run))))
-                run = []
-            if n:
-                items.append((d, [k], grams(x)))
-    root, linked = list(range(len(items))), set()
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in range(len(items)):
-        for b in range(a):
-            i = len(items[a][2] & items[b][2])
-            if i >= 0.8 * (len(items[a][2]) + len(items[b][2]) - i) - 1e-12:
+            i = len(items[a][1] & items[b][1])
+            if i >= 0.8 * (len(items[a][1]) + len(items[b][1]) - i) - 1e-12:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
                 linked |= {a, b}
-    want = {d: [0, 0, []] for d in range(len(docs))}
-    for k, (d, at, _) in enumerate(items):
-        want[d][0] += 1
-        want[d][1] += k in linked
-        if find(k) != k:
-            want[d][2] += at
-    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: [r.n_paragraphs, r.n_repeated, r.removed_lines] for r in paragraph_dedup.query(spark, str(tmp_path)).collect()}
-    assert len({(d, t) for d, t in enumerate(docs)}) == len(got)
-    assert got == {d: [n, m, sorted(x)] for d, (n, m, x) in want.items()}
-    kept = {r.doc_id: r.text for r in paragraph_dedup.clean(table(spark, docs), whole=True).collect()}
-    assert kept == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d][2]) for d, t in enumerate(docs)}
+    raws = [(t or "").encode() for t in texts]
+    want = {d: [0, 0, set(), r] for d, r in enumerate(raws)}
+    for k in reversed(range(len(items))):
+        d, _, lo, hi = items[k]
+        if k in linked:
+            want[d][0] += 1
+            want[d][2].add(items[find(k)][0])
+            if find(k) != k:
+                want[d][1] += 1
+                want[d][3] = want[d][3][:lo] + want[d][3][hi:]
+    want = {d: [n, m, sorted(c), r.decode()] for d, (n, m, c, r) in want.items()}
+    got = {r.doc_id: [r.n_repeated, r.n_removed, r.class_ids, r.text] for r in paragraph_dedup.measure(table(spark, texts)).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 50
+    assert {r.doc_id: r.text for r in paragraph_dedup.clean(table(spark, texts)).collect()} == {d: x[3] for d, x in want.items()}
+
+
+def test_passages_are_caught_within_and_across_lines(spark):
+    rng = np.random.default_rng(7)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(n))
+    passages = [text(rng.integers(51, 75)) for _ in range(60)]
+    passages = [p if k % 2 else p.replace(" ", "\n", 3) for k, p in enumerate(passages)]
+    texts = [f"{text(rng.integers(20, 200))}{rng.choice([' ', chr(10), ', '])}{p} {text(rng.integers(20, 90))}" for p in passages for _ in range(3)]
+    texts += [text(120) for _ in range(40)]
+    got = {r.doc_id: r for r in paragraph_dedup.measure(table(spark, texts)).collect()}
+    assert np.mean([got[d].n_repeated > 0 for d in range(180)]) > 0.95
+    assert np.mean([sum(p in got[3 * k + i].text for i in range(3)) <= 1 for k, p in enumerate(passages)]) > 0.95
+    assert all(got[d].text == texts[d] for d in range(180, 220))
+
+
+def test_columns_of_the_caller_come_back(spark):
+    """Names and values that the operators use themselves, of every operator that cleans rows."""
+    names = "version rest lines boiler removed ranges spans hit items kept cleaned lo hi one two bands digest host grams root node row_key stays times n_words band hub".split()
+    a, b = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows = [(1, "s", None, *range(len(names)), a), (2, "s", 5, *range(len(names)), a + " tail"), (3, None, 5, *range(len(names)), b), (4, "s", 0, *range(len(names)), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_chars bigint, " + ", ".join(f"{n} bigint" for n in names) + ", text string")
+    items = spark.createDataFrame([(1, b)], "item_id bigint, text string")
+    for f, ids in ((lambda d: decontaminate.clean(d, items), {1, 2, 4}), (quality_rules.clean, {1, 2, 3}), (paragraph_dedup.clean, {1, 2, 3, 4}), (jaccard_join.keep_one, {1, 3, 4}), (jaccard_join.keep_row, {1, 3, 4})):
+        got = f(docs)
+        assert got.columns == docs.columns
+        assert {r.doc_id: [r[n] for n in names] for r in got.collect()} == {i: list(range(len(names))) for i in ids}
+
+
+def test_thue_morse_lines_and_words(spark):
+    """Different symbols in a pattern on which polynomial hashes modulo a power of two agree."""
+    for n in (1024, 2048):
+        one = "a"
+        while len(one) < n:
+            one += one.translate(str.maketrans("ab", "ba"))
+        two = one.translate(str.maketrans("ab", "ba"))
+        got = quality_rules.judge(table(spark, [f"{one}\n{two}", " ".join(["x", "y", one, "x", "y", two]), f"{one}\n{one}"])).orderBy("doc_id").collect()
+        assert [r.n_dup_lines for r in got] == [0, 0, 1] and got[1].n_repeat_words == 0
+        docs = table(spark, [f"{w} b c d e f g h" for w in (one, two, one)])
+        assert [r.class_id for r in jaccard_join.join(docs).orderBy("doc_id").collect()] == [0, 1, 0]
+        assert [r.n_repeated for r in paragraph_dedup.measure(docs).orderBy("doc_id").collect()] == [1, 0, 1]
 
 
 def test_components_end_only_when_settled(spark, monkeypatch):
