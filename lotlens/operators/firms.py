@@ -38,19 +38,6 @@ def core_roots(refs: DataFrame, families: DataFrame, firm: str = "firm", ref: st
     return held.join(pruned, firm).filter(F.array_contains("kept", F.col("root"))).select(firm, "root", "n")
 
 
-def keyword_lists(own: DataFrame, names: DataFrame, codes: DataFrame, dictionaries: DataFrame, firm: str = "firm", most: int = 25) -> DataFrame:
-    """Own words, words of the name and words of the firm's codes, shortest of a family only."""
-    by_code = codes.join(dictionaries, "code").select(firm, "word")
-    every = own.select(firm, "word").union(names.select(firm, "word")).union(by_code).distinct()
-    return every.groupBy(firm).agg(F.slice(fn.subsume(F.collect_list("word")), 1, most).alias("words"))
-
-
-def name_words(firms: DataFrame, firm: str, name: str, rooted: DataFrame) -> DataFrame:
-    """Words of a firm's name that tell a trade."""
-    words = firms.select(firm, F.explode(F.array_distinct(fn.tokens(F.col(name)))).alias("token"))
-    return words.join(rooted.select("token").distinct(), "token", "left_semi").select(firm, F.col("token").alias("word"))
-
-
 def trade_read(similar: DataFrame, firm: str, label: str, cos: str, own: Column, foreign: Column, margin: float = 0.225) -> DataFrame:
     """A firm's best reading of its own and of foreign labels, and whether they contradict it."""
     n = similar.groupBy(firm).agg(F.max(F.when(own, F.col(cos))).alias("own_read"), F.max(F.when(foreign, F.col(cos))).alias("foreign_read"), F.max(cos).alias("best_read"), F.max_by(label, F.struct(cos, label)).alias("reads"))

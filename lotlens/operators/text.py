@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as fn
 
@@ -53,32 +53,6 @@ def text_roots(texts: DataFrame, key: str, text: str, rooted: DataFrame) -> Data
     return words.join(rooted, "token").select(key, "root").distinct()
 
 
-def trade_dictionaries(lots: DataFrame, key: str, code: str, buyer: str, text: str, least_lots: int = DICT_MIN_LOTS, least_letters: int = MIN_STEM, most: int = DICT_MAX) -> DataFrame:
-    """Words that tell a code's lots from the others: (code, word, f_in, ratio, score, rank).
-
-    A word counts if it is in a tenth of the code's lots, eight times more often
-    than elsewhere, with two buyers and a tenth of the buyers; words that hold a
-    shorter kept word go; the best ``most`` stay.
-    """
-    pool = lots.filter(F.col(code).isNotNull())
-    size = pool.groupBy(code).agg(F.count_distinct(key).alias("n_in"), F.count_distinct(buyer).alias("buyers_in")).filter(F.col("n_in") >= least_lots)
-    words = lots.select(key, code, buyer, F.explode(F.array_distinct(fn.tokens(F.col(text), least_letters))).alias("word"))
-    freq = words.groupBy("word").agg(F.count_distinct(key).alias("df"))
-    total = F.broadcast(lots.agg(F.count_distinct(key).alias("n")))
-    n = words.filter(F.col(code).isNotNull()).groupBy(code, "word").agg(F.count_distinct(key).alias("k"), F.count_distinct(buyer).alias("buyers"))
-    both = n.join(size, code).filter((F.col("k") >= DICT_MIN_IN * F.col("n_in")) & (F.col("buyers") >= DICT_MIN_BUYERS) & (F.col("buyers") >= DICT_BUYER_SHARE * F.col("buyers_in")))
-    scored = both.join(freq, "word").crossJoin(total)
-    f_in = F.col("k") / F.col("n_in")
-    f_out = (F.col("df") - F.col("k")) / F.greatest(F.col("n") - F.col("n_in"), F.lit(1))
-    scored = scored.withColumn("f_in", f_in).withColumn("ratio", f_in / F.greatest(f_out, F.lit(1e-9))).filter(F.col("ratio") >= DICT_MIN_RATIO)
-    scored = scored.withColumn("score", F.col("f_in") * F.least("ratio", F.lit(100.0)))
-    # At most ten words per lot's words can reach a tenth of the lots, so a code's list is short.
-    pruned = scored.groupBy(code).agg(fn.subsume(F.collect_list("word")).alias("kept"))
-    held = scored.join(pruned, code).filter(F.array_contains("kept", F.col("word")))
-    ranked = held.withColumn("rank", F.row_number().over(W.partitionBy(code).orderBy(F.desc("score"), "word")))
-    return ranked.filter(F.col("rank") <= most).select(code, "word", "f_in", "ratio", "score", "rank")
-
-
 def recurring(refs: DataFrame, by: str, ref: str, what: str, share: float, least: int = 1) -> DataFrame:
     """Values in at least max(least, pseudo-ceil(share * references)) of a group's references."""
     size = refs.groupBy(by).agg(F.count_distinct(ref).alias("refs"))
@@ -102,7 +76,7 @@ def evidence(lots: DataFrame, key: str, title: str, body: str, keywords: DataFra
     words = keywords.select(by, word).distinct()
     tokens = text.select(key, "title", F.explode(F.array_distinct(fn.tokens(F.col("text")))).alias("token"))
     vocabulary = tokens.select("token").distinct()
-    inside = vocabulary.join(words.select(word).distinct(), F.expr(f"contains(token, {word})")).select("token", word, F.lit(1).alias("tier"))
+    inside = parts_of(vocabulary, "token", words.select(word).distinct(), word).select("token", word, F.lit(1).alias("tier"))
     long = words.select(word).distinct().filter(F.length(word) >= TYPO_LEN)
     near = _halves(long, word)
     spread = _halves(vocabulary.filter(F.length("token") >= TYPO_LEN - 1), "token", spread=True)
@@ -112,6 +86,14 @@ def evidence(lots: DataFrame, key: str, title: str, body: str, keywords: DataFra
     return found.groupBy(key, by, word).agg(F.min("tier").alias("tier"), F.max("in_title").alias("in_title"))
 
 
+def parts_of(vocabulary: DataFrame, token: str, words: DataFrame, word: str) -> DataFrame:
+    """(token, word) of every word that is part of a token: the substrings of the tokens, of the words' lengths, are joined by equality."""
+    lengths = words.agg(F.array_sort(F.collect_set(F.length(word))).alias("lengths"))  # one row, as long as the longest word at most
+    at = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.transform(F.filter("lengths", lambda n: i + n - 1 <= F.length(token)), lambda n: F.substring(F.col(token), i, n)))
+    each = vocabulary.filter(F.length(token) > 0).crossJoin(F.broadcast(lengths)).select(token, F.explode(F.array_distinct(F.flatten(at))).alias(word))
+    return each.join(words, word).select(token, word)
+
+
 def _halves(words: DataFrame, col: str, spread: bool = False) -> DataFrame:
     """Blocks that a word and every word one edit away share: its length's halves."""
     lengths = F.array(F.lit(0)) if not spread else F.array(F.lit(-1), F.lit(0), F.lit(1))

@@ -350,11 +350,11 @@ def multihot_fit(t: Tables) -> DataFrame:
 
 @query(
     "multihot_apply",
-    """WITH g AS (SELECT user_id, list_distinct(list(event_type)) AS k FROM events WHERE event_id % 7 = 0 GROUP BY 1) SELECT user_id, list_contains(k, 'click')::INT AS kind__has_click, list_contains(k, 'view')::INT AS kind__has_view,
+    """WITH g AS (SELECT user_id, list_distinct(list(event_type)) AS k FROM events GROUP BY 1) SELECT user_id, list_contains(k, 'click')::INT AS kind__has_click, list_contains(k, 'view')::INT AS kind__has_view,
     len(list_filter(k, lambda x: x NOT IN ('click', 'view')))::INT AS kind__n_rare, len(k)::INT AS kind__n FROM g""",
 )
 def multihot_apply(t: Tables) -> DataFrame:
-    g = t.events.filter("event_id % 7 = 0").groupBy("user_id").agg(F.collect_list("event_type").alias("k"))
+    g = t.events.groupBy("user_id").agg(F.collect_list("event_type").alias("k"))
     return ft.multihot_apply(g, "k", ["view", "click"], "kind").drop("k")
 
 

@@ -24,8 +24,8 @@ _FREQ = f"w AS (SELECT unnest({TOKENS % 3}) AS token FROM documents), f AS (SELE
 
 @query(
     "corpus_stems",
-    f"""WITH {_FREQ}, c AS (SELECT token, e, p, left(token, length(token) - length(e)) AS rest FROM f, (VALUES ('en', 0), ('e', 1), ('s', 2), ('n', 3)) AS v(e, p) WHERE ends_with(token, e) AND length(token) - length(e) >= 6),
-    k AS (SELECT c.token, arg_min(rest, p) AS stem FROM c WHERE rest IN (SELECT token FROM f) GROUP BY 1) SELECT token, coalesce(stem, token) AS stem FROM f LEFT JOIN k USING (token)""",
+    f"""WITH {_FREQ.replace("f AS (", "f AS MATERIALIZED (")}, c AS MATERIALIZED (SELECT token, p, left(token, length(token) - length(e)) AS rest FROM f, (VALUES ('en', 0), ('e', 1), ('s', 2), ('n', 3)) AS v(e, p) WHERE ends_with(token, e) AND length(token) - length(e) >= 6),
+    k AS (SELECT c.token, arg_min(rest, p) AS stem FROM c JOIN f ON f.token = c.rest GROUP BY 1) SELECT f.token, coalesce(stem, f.token) AS stem FROM f LEFT JOIN k ON k.token = f.token""",
 )
 def corpus_stems(t: Tables) -> DataFrame:
     return tx.stems(tx.doc_freq(t.documents, "doc_id", "text"))
@@ -73,14 +73,14 @@ def fold_tokens(t: Tables) -> DataFrame:
 
 
 def _words(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("firm"), F.explode(F.array_distinct(fn.tokens(F.col("text"), 8))).alias("word")).filter("firm < 10")
+    return t.benchmark.select(F.col("item_id").alias("firm"), F.explode(F.array_distinct(fn.tokens(F.col("text"), 8))).alias("word"))
 
 
 @query(
     "evidence_tiers",
-    f"""WITH k AS (SELECT DISTINCT item_id AS firm, unnest({TOKENS % 8}) AS word FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, lower(left(text, 40)) AS title, unnest({(TOKENS % 3).replace("coalesce(text, '')", "concat_ws(' ', left(text, 40), text)")}) AS token FROM documents),
+    f"""WITH k AS (SELECT DISTINCT item_id AS firm, unnest({TOKENS % 8}) AS word FROM benchmark), d AS (SELECT doc_id, lower(left(text, 40)) AS title, unnest({(TOKENS % 3).replace("coalesce(text, '')", "concat_ws(' ', left(text, 40), text)")}) AS token FROM documents),
     v AS (SELECT DISTINCT token FROM d), p AS (SELECT token, word, min(tier) AS tier FROM (SELECT token, word, 1 AS tier FROM v, (SELECT DISTINCT word FROM k) WHERE contains(token, word) UNION ALL
-    SELECT token, word, 2 FROM v, (SELECT DISTINCT word FROM k) WHERE length(token) >= 7 AND abs(length(token) - length(word)) <= 1 AND levenshtein(token, word) <= 1) GROUP BY 1, 2)
+    SELECT token, word, 2 FROM v, (SELECT DISTINCT word FROM k) WHERE length(token) >= 7 AND abs(length(token) - length(word)) <= 1 AND levenshtein(translate(token, 'äöü', '123'), translate(word, 'äöü', '123')) <= 1) GROUP BY 1, 2)
     SELECT doc_id, firm, word, min(tier) AS tier, bool_or(contains(title, token)) AS in_title FROM d JOIN p USING (token) JOIN k USING (word) GROUP BY 1, 2, 3""",
 )
 def evidence_tiers(t: Tables) -> DataFrame:
@@ -90,8 +90,8 @@ def evidence_tiers(t: Tables) -> DataFrame:
 
 @query(
     "convictions",
-    f"""WITH k AS (SELECT DISTINCT item_id AS firm, unnest({TOKENS % 8}) AS word FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, lower(left(text, 40)) AS title, unnest({(TOKENS % 3).replace("coalesce(text, '')", "concat_ws(' ', left(text, 40), text)")}) AS token FROM documents),
-    v AS (SELECT DISTINCT token FROM d), p AS (SELECT DISTINCT token, word FROM v, (SELECT DISTINCT word FROM k) WHERE contains(token, word) OR (length(token) >= 7 AND abs(length(token) - length(word)) <= 1 AND levenshtein(token, word) <= 1)),
+    f"""WITH k AS (SELECT DISTINCT item_id AS firm, unnest({TOKENS % 8}) AS word FROM benchmark), d AS (SELECT doc_id, lower(left(text, 40)) AS title, unnest({(TOKENS % 3).replace("coalesce(text, '')", "concat_ws(' ', left(text, 40), text)")}) AS token FROM documents),
+    v AS (SELECT DISTINCT token FROM d), p AS (SELECT DISTINCT token, word FROM v, (SELECT DISTINCT word FROM k) WHERE contains(token, word) OR (length(token) >= 7 AND abs(length(token) - length(word)) <= 1 AND levenshtein(translate(token, 'äöü', '123'), translate(word, 'äöü', '123')) <= 1)),
     e AS (SELECT doc_id, firm, word, bool_or(contains(title, token)) AS in_title FROM d JOIN p USING (token) JOIN k USING (word) GROUP BY 1, 2, 3)
     SELECT doc_id, firm, count(*) AS witnesses, bool_or(in_title) AS title_witness, bool_or(in_title) OR count(*) >= 2 AS convicts FROM e GROUP BY 1, 2""",
 )
@@ -99,21 +99,6 @@ def convictions(t: Tables) -> DataFrame:
     return tx.convictions(evidence_tiers(t), "doc_id", "firm")
 
 
-@query(
-    "trade_dictionary",
-    f"""WITH l AS (SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN lang END AS code, source, unnest({TOKENS % 6}) AS word FROM documents), a AS (SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN lang END AS code, source FROM documents),
-    s AS (SELECT code, count(DISTINCT doc_id) AS n_in, count(DISTINCT source) AS buyers_in FROM a WHERE code IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20), q AS (SELECT word, count(DISTINCT doc_id) AS df FROM l GROUP BY 1), t AS (SELECT count(*) AS n FROM a),
-    n AS (SELECT code, word, count(DISTINCT doc_id) AS k, count(DISTINCT source) AS buyers FROM l WHERE code IS NOT NULL GROUP BY 1, 2),
-    b AS (SELECT code, word, k::DOUBLE / n_in AS f_in, (df - k)::DOUBLE / greatest(n - n_in, 1) AS f_out FROM n JOIN s USING (code) JOIN q USING (word), t WHERE k >= 0.1::DOUBLE * n_in AND buyers >= 2 AND buyers >= 0.1::DOUBLE * buyers_in),
-    c AS (SELECT code, word, f_in, f_in / greatest(f_out, 1e-9) AS ratio FROM b WHERE f_in / greatest(f_out, 1e-9) >= 8), d AS (SELECT *, f_in * least(ratio, 100.0) AS score FROM c),
-    e AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM d AS o WHERE o.code = d.code AND o.word <> d.word AND contains(d.word, o.word))), r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score DESC, word) AS rank FROM e)
-    SELECT code, word, round(f_in, 6) AS f_in, round(ratio, 4) AS ratio, round(score, 6) AS score, rank FROM r WHERE rank <= 30""",
-)
-def trade_dictionary(t: Tables) -> DataFrame:
-    d = t.documents.withColumn("code", F.when(F.col("lang").isin("de", "fr"), F.col("lang")))
-    return rounded(tx.trade_dictionaries(d, "doc_id", "code", "source", "text"), "f_in", "score").withColumn("ratio", F.round("ratio", 4))
-
-
 @query(
     "core_recurrence",
     f"""WITH w AS (SELECT DISTINCT source, doc_id, unnest({TOKENS % 8}) AS word FROM documents), s AS (SELECT source, count(DISTINCT doc_id) AS refs FROM w GROUP BY 1), n AS (SELECT source, word, count(*) AS n FROM w GROUP BY 1, 2)
@@ -163,16 +148,26 @@ def band_draw_admit(t: Tables) -> DataFrame:
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)"
 
 
-@query("cosine_top1", f"WITH {_UNIT}, c AS (SELECT a.vec_id, b.vec_id AS ref, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0) SELECT vec_id, ref, cos FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ref) = 1")
+#: Each vector whose id is divisible by 20, against all others.
+_PAIRS = f"{_UNIT}, c AS (SELECT a.vec_id, a.label AS firm, b.vec_id AS ref, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)"
+
+
+def _asked(t: Tables) -> DataFrame:
+    return t.embeddings.filter("vec_id % 20 = 0")
+
+
+def _refs(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("ref"), "embedding")
+
+
+@query("cosine_top1", f"WITH {_PAIRS} SELECT vec_id, ref, cos FROM c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ref) = 1")
 def cosine_top1(t: Tables) -> DataFrame:
-    refs = t.embeddings.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("ref"), "embedding")
-    return vc.best_reference(t.embeddings, refs, "vec_id", "ref", "embedding")
+    return vc.best_reference(_asked(t), _refs(t), "vec_id", "ref", "embedding", others=True)
 
 
-@query("top_labels", f"WITH {_UNIT}, c AS (SELECT a.vec_id, b.vec_id AS ref, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ref) AS rank FROM c) SELECT vec_id, ref, cos, rank FROM r WHERE rank <= 3")
+@query("top_labels", f"WITH {_PAIRS}, r AS (SELECT vec_id, ref, cos, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, ref) AS rank FROM c) SELECT vec_id, ref, cos, rank FROM r WHERE rank <= 3")
 def top_labels(t: Tables) -> DataFrame:
-    refs = t.embeddings.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("ref"), "embedding")
-    return vc.top_labels(t.embeddings, refs, "vec_id", "ref", "embedding", 3)
+    return vc.top_labels(_asked(t), _refs(t), "vec_id", "ref", "embedding", 3, others=True)
 
 
 _COH = f"{_UNIT}, s AS (SELECT label, i, sum(v[i]) AS s FROM u, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM u GROUP BY 1), c AS (SELECT label, n, (sum(s * s) - n) / (n::DOUBLE * n - n) AS cohesion FROM s JOIN n USING (label) GROUP BY 1, 2)"
@@ -193,12 +188,11 @@ def pseudo_refs(t: Tables) -> DataFrame:
     return vc.pseudo_refs(t.embeddings, "label", "vec_id", "embedding", 0.01).drop("rank")
 
 
-@query("soft_fingerprint", f"WITH {_UNIT}, c AS (SELECT a.label AS firm, a.vec_id AS ref, b.vec_id AS code, round(list_dot_product(a.v, b.v), 9) AS cos FROM u a, u b WHERE b.vec_id % 25 = 0), n AS (SELECT firm, code, count(DISTINCT ref) AS refs, max(cos) AS best FROM c WHERE cos >= 0.2 GROUP BY 1, 2 HAVING count(DISTINCT ref) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY best DESC, code) AS rank FROM n) SELECT firm, code, refs, best, rank FROM r WHERE rank <= 8")
+@query("soft_fingerprint", f"WITH {_PAIRS}, n AS (SELECT firm, ref AS code, count(DISTINCT vec_id) AS refs, max(cos) AS best FROM c WHERE cos >= 0.2 GROUP BY 1, 2 HAVING count(DISTINCT vec_id) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY best DESC, code) AS rank FROM n) SELECT firm, code, refs, best, rank FROM r WHERE rank <= 8")
 def soft_fingerprint(t: Tables) -> DataFrame:
-    codes = t.embeddings.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("code"), "embedding")
-    top = vc.top_labels(t.embeddings.select(F.col("vec_id").alias("ref"), "embedding"), codes, "ref", "code", "embedding", 1 << 30)
-    firm = t.embeddings.select(F.col("vec_id").alias("ref"), F.col("label").alias("firm"))
-    return vc.soft_fingerprint(top.join(firm, "ref"), "firm", "ref", "code", "cos", floor=0.2)
+    near = vc.similar(_asked(t), _refs(t), "vec_id", "ref", "embedding", others=True).filter("cos >= 0.2")
+    firm = t.embeddings.select("vec_id", F.col("label").alias("firm"))
+    return vc.soft_fingerprint(near.join(firm, "vec_id").select("firm", "vec_id", F.col("ref").alias("code"), "cos"), "firm", "vec_id", "code", "cos", floor=0.2)
 
 
 # --- gate -------------------------------------------------------------------------------------------
@@ -358,13 +352,12 @@ def selection_topk(t: Tables) -> DataFrame:
 
 @query(
     "simulate_picks",
-    """WITH m AS (SELECT DISTINCT c_custkey, p_partkey, p_retailprice FROM customer JOIN part ON p_size = c_nationkey OR p_size = c_nationkey + 1 WHERE c_custkey < 200), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY p_retailprice DESC, p_partkey) AS slot FROM m)
-    SELECT c_custkey, p_partkey, slot FROM r WHERE slot <= 5 AND (c_custkey + p_partkey) % 7 <> 0""",
+    """WITH m AS (SELECT DISTINCT c_custkey, p_partkey, p_retailprice FROM customer JOIN part ON p_size = c_nationkey OR p_size = c_nationkey + 1), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY p_retailprice DESC, p_partkey) AS slot FROM m),
+    h AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT c_custkey, p_partkey, slot FROM r LEFT JOIN h ON o_custkey = c_custkey AND l_partkey = p_partkey WHERE slot <= 5 AND o_custkey IS NULL""",
 )
 def simulate_picks(t: Tables) -> DataFrame:
-    c = t.customer.filter("c_custkey < 200")
-    wanted = c.select("c_custkey", F.explode(F.array(F.col("c_nationkey"), F.col("c_nationkey") + 1)).alias("p_size"))
-    seen = c.select("c_custkey").join(t.part.select("p_partkey"), F.expr("(c_custkey + p_partkey) % 7 = 0"))
+    wanted = t.customer.select("c_custkey", F.explode(F.array(F.col("c_nationkey"), F.col("c_nationkey") + 1)).alias("p_size"))
+    seen = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("p_partkey")).distinct()
     return sel.merged_picks(t.part.select("p_partkey", "p_size", "p_retailprice"), wanted, "c_custkey", "p_size", "p_retailprice", "p_partkey", 5, seen).select("c_custkey", "p_partkey", "slot")
 
 
