@@ -1,6 +1,6 @@
 """All queries over the star-schema tables; importing the package registers them."""
 
-from . import firms, grading, language, lexicon, market
+from . import firms, grading, language, lexicon, market, notices
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "firms", "grading", "language", "lexicon", "market"]
+__all__ = ["QUERIES", "SQL", "firms", "grading", "language", "lexicon", "market", "notices"]
