@@ -41,7 +41,7 @@ def arm_verdict(paired: int, hits: Sequence[int], flagged: Sequence[int], delive
     best = max(range(len(p)), key=lambda k: (p[k], k == delivering))
     if p[best] >= P_READY and wires_ok:
         return "ready", best
-    return ("leaning", best) if p[best] >= P_LEANING else ("no difference", delivering)
+    return ("leaning", best) if p[best] >= P_LEANING else ("no difference", None)
 
 
 def rejects(pairs: DataFrame) -> DataFrame:
@@ -73,20 +73,20 @@ def _interval(k: int, n: int, z: float = 1.96) -> tuple[float, float]:
 
 
 def knob_verdict(current: Measurement | None, neighbours: Sequence[Measurement], flats: int = 0, stopped: bool = False) -> tuple[str, float | None]:
-    """E39, card B.10: stop, hold, no effect, move or flat (the second flat closes)."""
+    """E39, card B.10: stop, hold, no effect, move up or down, or flat (the second flat closes)."""
     if stopped:
         return "stop", None
     if current is None or current.n < MIN_CASES:
         return "hold", None
     if neighbours and all((m.metric, m.k, m.n, m.leakage) == (current.metric, current.k, current.n, current.leakage) for m in neighbours):
         return "no effect", None
-    inside = [m for m in neighbours if m.leakage <= HARD_BAR and m.n >= MIN_CASES]
-    if current.leakage > HARD_BAR and inside:
-        return "move", max(inside, key=lambda m: (m.metric, -m.value)).value
-    high = _interval(current.k, current.n)[1]
-    better = [m for m in inside if _interval(m.k, m.n)[0] > high]
-    if better:
-        return "move", max(better, key=lambda m: (m.metric, -m.value)).value
+    inside = [m for m in neighbours if m.leakage <= HARD_BAR]
+    if current.leakage <= HARD_BAR or not inside:  # over the bar any neighbour within it is better, whatever its recall
+        high = _interval(current.k, current.n)[1]
+        inside = [m for m in inside if _interval(m.k, m.n)[0] > high]
+    if inside:
+        best = max(inside, key=lambda m: (m.metric, -m.value)).value
+        return ("move up" if best > current.value else "move down"), best
     return ("close" if flats + 1 >= FLAT_TO_CLOSE else "flat"), None
 
 

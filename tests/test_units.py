@@ -69,8 +69,8 @@ def test_ladders():
     assert ex.knob_verdict(None, []) == ("hold", None) and ex.knob_verdict(m(0.5, 0.5, 10, 20, 0.0), []) == ("hold", None)
     here = m(0.5, 0.5, 50, 100, 0.01)
     assert ex.knob_verdict(here, [m(0.6, 0.5, 50, 100, 0.01)]) == ("no effect", None)
-    assert ex.knob_verdict(here, [m(0.6, 0.9, 90, 100, 0.01)]) == ("move", 0.6) and ex.knob_verdict(here, [m(0.6, 0.9, 90, 100, 0.5)]) == ("flat", None)
-    assert ex.knob_verdict(m(0.5, 0.5, 50, 100, 0.5), [m(0.4, 0.4, 40, 100, 0.0)]) == ("move", 0.4) and ex.knob_verdict(here, [m(0.6, 0.5, 51, 100, 0.0)], flats=1)[0] == "close"
+    assert ex.knob_verdict(here, [m(0.6, 0.9, 90, 100, 0.01)]) == ("move up", 0.6) and ex.knob_verdict(here, [m(0.6, 0.9, 90, 100, 0.5)]) == ("flat", None)
+    assert ex.knob_verdict(m(0.5, 0.5, 50, 100, 0.5), [m(0.4, 0.4, 40, 100, 0.0)]) == ("move down", 0.4) and ex.knob_verdict(here, [m(0.6, 0.5, 51, 100, 0.0)], flats=1)[0] == "close"
 
 
 def test_gate_config():
