@@ -105,6 +105,51 @@ def test_html(spark):
     assert all(abs(a - b / weight) < 1e-9 for a, b in zip(m.marginals(nodes)[0], hit, strict=True))
 
 
+def test_html_of_unseen_layouts():
+    """Layouts and names that the training pages do not have; F1 over text blocks."""
+    m = html_text.default_model()
+    r = np.random.default_rng(5)
+    words = lambda a, z: " ".join("".join(r.choice(list("abcdefghilmnorstu"), r.integers(2, 9))) for _ in range(r.integers(a, z)))
+    say = lambda a=15, z=70: words(a, z).capitalize() + "."
+    link = lambda: f"<a href='{words(1, 2)}'>{words(1, 3)}</a>"
+    hits = missed = wrong = 0
+    for k in range(90):
+        title, body = words(3, 9), [say() for _ in range(r.integers(2, 7))]
+        main, menu, note = "".join(f"<p>{x}</p>" for x in body), "".join(f"<li>{link()}</li>" for _ in range(6)), say(4, 12)
+        page = [
+            f"<center><font><b>{title}</b></font><hr>{main}</center><ul>{menu}</ul>",
+            f"<div class=w1><div class=w2><dl><dt>{link()}<dd>{link()}</dl></div><div class=w3><h1>{title}</h1>{main}</div></div><div class=w4>{note} {link()} {link()}</div>",
+            f"<body><main><header><h1>{title}</h1></header><section>{main}</section><div id=disqus_thread><p>{note}</p></div></main><nav>{menu}</nav></body>",
+            f"<table width=100%><tr><td>{'<br>'.join(link() for _ in range(5))}<td><h2>{title}</h2>{main}<tr><td colspan=2>&copy; 2020 {words(1, 4)}</table>",
+            f"<script src=/a/>var x = 1;</script><div role=banner>{link()}{link()}</div><div role=main><h1>{title}</h1>{main}</div><div role=contentinfo>&copy; {words(2, 5)}</div>",
+            f"<div><h1>{title}</h1>{'<br><br>'.join(body)}</div><form><input><button>{words(1, 2)}</button></form>",
+        ][k % 6]
+        want = [title, " ".join(body)] if k % 6 == 5 else [title, *body]
+        got = html_text.extract(page, m).split("\n")
+        hits += sum(x in got for x in want)
+        missed += sum(x not in got for x in want)
+        wrong += sum(x not in want for x in got)
+        assert "var x" not in "\n".join(got) and any(x in got for x in want[1:]), page
+    f1 = 2 * hits / (2 * hits + missed + wrong)
+    print(f"F1 {f1:.3f}")
+    assert f1 > 0.85, f1
+
+
+def test_html_closing_and_edges(spark):
+    m = html_text.default_model()
+    long = "Some words of a long text that goes on. " * 10
+    for page in ("<script src=/js/>var a=1;</script><article><p>Hello you.</p></article>", '<script src="a"/>var a=1;</script><article><p>Hello you.</p></article>', "<article><div class=x/><p>Hello you.</p></article>"):
+        assert html_text.extract(page, m) == "Hello you."
+    assert long.strip() in html_text.extract(f"<div><div><p>{long}</p></div><div><a href=/>a</a> <a href=/>b</a></div></div>", m)
+    assert "Great" not in html_text.extract(f'<article><h1>T t</h1><p>{long}</p></article><div id="disqus_thread"><p>Great post!</p></div>', m)
+    assert "News" not in html_text.extract(f"<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td><td><p>{long}</p></td></tr></table>", m)
+    pages = [(None, "u", f"<article><p>{long * 2000}</p></article>"), (2, None, "<p>" * 3000 + "x"), (3, "u", "<div>" * 3000), (3, "u", "")]
+    rows = spark.createDataFrame([(*p, "t", 7) for p in pages], "page_id bigint, url string, html string, text string, n_chars bigint")
+    got = {(r.page_id, r.url): r.n_chars for r in html_text.extract_pages(rows.limit(3)).collect()}
+    assert got[None, "u"] == len(" ".join((long * 2000).split())) and got[3, "u"] == 0
+    assert html_text.extract_pages(rows.limit(0)).count() == 0
+
+
 def test_chat_paths_and_round_trip(spark):
     rows = [("t", "a", None, 1, "user", "q ### </turn> \\ :", 0.0), ("t", "b", "a", 2, "assistant", "bad", 1.0), ("t", "c", "a", 2, "assistant", "good", 5.0), ("t", "d", "c", 3, "us:er", None, None), ("u", "x", "gone", 1, None, "root", 0.0)]
     m = spark.createDataFrame(rows, "tree string, node string, parent string, place int, role string, text string, score double")
