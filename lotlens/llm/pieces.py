@@ -50,6 +50,7 @@ _OTHER = 1 << 19
 _TABLE, _MULT = 19, 0x9E3779B97F4A7C15
 #: Bits of a candidate's three places in a chunk of at most ROW characters; occurrences looked at together.
 _BITS, _BLOCK = 18, 1 << 16
+_LOW, _FULL = np.uint64((1 << 21) - 1), (1 << 64) - 1
 
 
 class Pieces:
@@ -87,6 +88,7 @@ class Pieces:
                 left, right = self.symbol.get(t[:k]), self.symbol.get(t[k:])
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = i
+        self.pairs = pairs
         # An open-addressed table: a pair's place is the first of its chain that holds it or nothing.
         self.table, self.made = np.full(1 << _TABLE, -1, np.int64), np.full(1 << _TABLE, -1, np.int64)
         for key in sorted(pairs):
@@ -126,7 +128,12 @@ def load(model: bytes) -> Pieces:
 
 
 def _places(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return tk.mix((start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64))
+    """A number of three places; those beyond 21 bits, in chunks of millions of characters, go into a second part."""
+    start, mid, end = (x.astype(np.uint64) for x in (start, mid, end))
+    packed = (start & _LOW) << np.uint64(42) ^ (mid & _LOW) << np.uint64(21) ^ (end & _LOW)
+    if len(end) and int(end.max()) > int(_LOW):
+        packed ^= tk.mix((start >> np.uint64(21)) ^ (mid >> np.uint64(21)) << np.uint64(20) ^ (end >> np.uint64(21)) << np.uint64(40))
+    return tk.mix(packed)
 
 
 def _below(h: np.ndarray, rate: float) -> np.ndarray:
@@ -137,30 +144,53 @@ def _skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarra
     return _below(key ^ _places(start, mid, end), rate)
 
 
+def _mixed(h: int) -> int:
+    """``textkit.mix`` of one number."""
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & _FULL
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & _FULL
+    return h ^ h >> 33
+
+
 def _agenda(p: Pieces, chunk: str, key: np.uint64, rate: float) -> list[int]:
-    """One chunk by a heap of candidates."""
+    """One chunk by a heap of candidates; the first ones are looked up together."""
     n = len(chunk)
-    sym = [int(x) for x in p.char[[ord(c) for c in chunk]]]
+    sym = p.char[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)]
+    first = np.arange(n - 1)
+    made = p.merged(sym[:-1], sym[1:])
+    offered = made >= 0
+    if rate:
+        offered &= ~_skipped(np.full(n - 1, key, np.uint64), first, first + 1, first + 2, rate)
+    at = np.flatnonzero(offered)
+    rank, own, least = p.rank, int(key), rate * 2.0**53
+    heap = list(zip(rank[made[at]].tolist(), at.tolist(), (at + 1).tolist(), (at + 2).tolist(), made[at].tolist(), strict=True))
+    heapq.heapify(heap)
+    sym = sym.tolist()
     nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    k1 = np.array([key], np.uint64)
-    heap: list[tuple[int, int, int, int]] = []
+    live, pairs, low = [True] * n, p.pairs, int(_LOW)
 
     def offer(i: int) -> None:
         j = nxt[i] if i >= 0 else n
-        if i < 0 or j >= n:
+        if j >= n:
             return
-        m = int(p.merged(np.array([sym[i]]), np.array([sym[j]]))[0])
-        if m >= 0 and not _skipped(k1, np.array([i]), np.array([j]), np.array([end[j]]), rate)[0]:
-            heapq.heappush(heap, (int(p.rank[m]), i, j, end[j]))
+        m = pairs.get(sym[i] << 20 | sym[j])
+        if m is None:
+            return
+        e = end[j]
+        if rate:
+            packed = (i & low) << 42 ^ (j & low) << 21 ^ (e & low)
+            if e > low:
+                packed ^= _mixed(i >> 21 ^ (j >> 21) << 20 ^ (e >> 21) << 40)
+            if _mixed(own ^ _mixed(packed)) >> 11 < least:
+                return
+        heapq.heappush(heap, (int(rank[m]), i, j, e, m))
 
-    for i in range(n):
-        offer(i)
-    live = [True] * n
     while heap:
-        _, i, j, e = heapq.heappop(heap)
-        if not (live[i] and live[j] and nxt[i] == j and end[j] == e):
+        _, i, j, e, m = heapq.heappop(heap)
+        if not (live[i] and live[j] and nxt[i] == j and end[j] == e and pairs.get(sym[i] << 20 | sym[j]) == m):
             continue
-        sym[i] = int(p.merged(np.array([sym[i]]), np.array([sym[j]]))[0])
+        sym[i] = m
         live[j], end[i], nxt[i] = False, e, nxt[j]
         if nxt[j] < n:
             prv[nxt[j]] = i

@@ -207,6 +207,20 @@ def test_pieces_equal_the_library_without_dropout(spark):
     assert all(lists[i].tolist() == pieces._agenda(p, t, k[i], 0.3) for i, t in enumerate(some))
 
 
+def test_long_chunks_in_seconds():
+    import time
+
+    p = pieces.load(open(pieces.MODEL, "rb").read())
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcdefghilmnorstué"), 1_000_000))
+    began = time.time()
+    ids, at = pieces.encode_texts(p, [text], np.zeros(1, np.uint64), rate=0.1)
+    assert pieces.decode(p, ids.tolist()) == text and time.time() - began < 60
+    i, j, e = (np.array([x, x + (1 << 21), x + (1 << 30)]) for x in (5, 9, 30))
+    assert len(set(pieces._places(i, j, e).tolist())) == 3
+    assert pieces._mixed(12345678901234567) == int(pieces.tk.mix(np.array([12345678901234567], np.uint64))[0])
+
+
 def test_every_occurrence_has_skips_of_its_own():
     p = pieces.load(open(pieces.MODEL, "rb").read())
     long = "Donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichen"
