@@ -5,7 +5,9 @@ repeated 3-word windows. The line rule looks across the corpus: every line is
 normalised (A-Z lowered, digits made 0, ASCII white space dropped) and hashed;
 for each host (``source``) the distinct texts that hold a line are counted.
 Lines found in more than ``max(MIN_DOCS, LINE_SHARE * texts of the host)``
-texts are boilerplate and removed; a document that loses more than
+texts are boilerplate of the host, and lines found in more than
+``max(MIN_DOCS, LINE_SHARE * texts of all hosts)`` texts, each host's own counted,
+are boilerplate everywhere. They are removed; a document that loses more than
 ``DEPLETED`` of its normalised bytes is rejected.
 
 Exact copies count once, so a text is never rejected for having copies.
@@ -22,18 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textkit as tk
-from .cluster import bounded, cut, small_batches
+from .cluster import cut, small_batches
 
 #: A line is boilerplate only in more than this many distinct texts of a host,
 MIN_DOCS = 20
-#: and in more than this share of the host's distinct texts.
-LINE_SHARE = 0.1
+#: and in more than this share of the host's distinct texts (or of all hosts').
+LINE_SHARE = 0.02
 #: A document losing more than this share of its normalised bytes is rejected.
 DEPLETED = 0.5
-#: Most boilerplate lines, over all hosts, that are broadcast; more are joined by shuffle.
+#: Most boilerplate lines (8 bytes each), over all hosts, that are broadcast; more are joined by host.
 MOST_BROADCAST = 1_000_000
 
 _SYMBOL = np.zeros(256, bool)
@@ -81,9 +84,9 @@ def _corpus_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """(host, lines array<bigint>): hashes of the lines above the limits.
+    """(host, line): hashes of the lines above the limits; a null host stands for every host.
 
-    A host has at most ``lines per text / share`` of them, so a row is small.
+    A host has at most ``lines per text / share`` of them.
     """
     texts = small_batches(docs).select(F.coalesce(F.col("source"), F.lit("")).alias("host"), "text")
     distinct = (
@@ -92,19 +95,13 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = LINE_S
         .agg(F.first("lines").alias("lines"))
     )
     distinct = cut(distinct.select("host", "lines"))
-    total = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    found = (
-        distinct.select("host", F.explode("lines").alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("held"))
-        .filter(F.col("held") > min_docs)
-    )
-    return (
-        found.join(total, "host")
-        .filter(F.col("held") > F.col("texts") * F.lit(share))
-        .groupBy("host")
-        .agg(F.collect_list("line").alias("lines"))
-    )
+    total = cut(distinct.groupBy("host").agg(F.count(F.lit(1)).alias("texts")))
+    every = F.broadcast(total.agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("texts")))  # one row
+    held = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("held"))
+    held = cut(held)
+    of_host = held.filter(F.col("held") > min_docs).join(total, "host").filter(F.col("held") > F.col("texts") * F.lit(share))
+    of_all = held.groupBy("line").agg(F.sum("held").alias("held")).filter(F.col("held") > min_docs).crossJoin(every).filter(F.col("held") > F.col("texts") * F.lit(share))
+    return of_host.select("host", "line").union(of_all.select(F.lit(None).cast("string"), "line"))
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -122,11 +119,15 @@ def _repeat_words(h: np.ndarray) -> int:
     return int(cover.sum())
 
 
-def _judged(depleted: float, with_text: bool):
+def _judged(depleted: float, with_text: bool, known: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tk.buffers(b.column("text"))
-            listed = b.column("boiler").to_pylist()
+            if known is None:
+                listed = [np.sort(x.values.to_numpy()) if x.is_valid else None for x in b.column("boiler")]
+            else:
+                anywhere = known.value.get(None)
+                listed = [known.value.get(h, anywhere) for h in b.column("boiler").to_pylist()]
             for i, j, d, o in tk.chunks(data, off):
                 out = _judge_chunk(d, o, listed[i:j], depleted, with_text)
                 keep = [b.column(n).slice(i, j - i) for n in b.schema.names if n not in ("text", "boiler")]
@@ -136,7 +137,8 @@ def _judged(depleted: float, with_text: bool):
     return run
 
 
-def _judge_chunk(d: np.ndarray, o: np.ndarray, listed: list, depleted: float, with_text: bool) -> dict:
+def _judge_chunk(d: np.ndarray, o: np.ndarray, listed: list[np.ndarray | None], depleted: float, with_text: bool) -> dict:
+    """``listed``: the sorted boilerplate of each document's host."""
     n = len(o) - 1
     ws, we, first = tk.word_bounds(d, o, tk.SOLID)
     words = tk.span_hashes(d, ws, we)
@@ -158,8 +160,9 @@ def _judge_chunk(d: np.ndarray, o: np.ndarray, listed: list, depleted: float, wi
         res["n_dup_lines"][k] = filled.sum() - len(np.unique(raw[a:z][filled]))
         res["n_repeat_words"][k] = _repeat_words(words[first[k] : first[k + 1]])
         bad = np.zeros(z - a, bool)
-        if listed[k]:
-            bad = filled & np.isin(normal[a:z].astype(np.int64), np.asarray(listed[k], np.int64))
+        if listed[k] is not None and len(listed[k]) and z > a:
+            own = normal[a:z].astype(np.int64)
+            bad = filled & (listed[k][np.minimum(np.searchsorted(listed[k], own), len(listed[k]) - 1)] == own)
         removed[k] = bad.sum()
         lost[k] = size[a:z][bad].sum() > depleted * size[a:z].sum()
         if with_text:
@@ -176,25 +179,37 @@ def _judge_chunk(d: np.ndarray, o: np.ndarray, listed: list, depleted: float, wi
 _OUT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_removed_lines bigint"
 
 
-def _with_boiler(docs: DataFrame, **limits) -> DataFrame:
-    bad = cut(boilerplate(docs, **limits).withColumnRenamed("lines", "boiler"))
-    bad = bounded(bad, MOST_BROADCAST, "boiler")
+def _with_boiler(docs: DataFrame, **limits) -> tuple[DataFrame, Broadcast | None]:
+    """``docs`` (text, source, more) with the column boiler: the host, if its lines are broadcast, else the lines themselves."""
+    bad = cut(boilerplate(docs.select("text", "source"), **limits))
     host = F.coalesce(docs["source"], F.lit(""))
-    return docs.join(bad, host == bad["host"], "left").drop(bad["host"])
+    if bad.count() <= MOST_BROADCAST:
+        rows = bad.toArrow()
+        hosts, lines = np.array(rows.column("host").to_pylist(), object), rows.column("line").to_numpy()
+        own = {h: lines[hosts == h] for h in set(hosts.tolist())}
+        anywhere = own.get(None, np.zeros(0, np.int64))
+        known = {h: np.unique(np.concatenate([x, anywhere])) for h, x in own.items()}
+        return docs.withColumn("boiler", host), docs.sparkSession.sparkContext.broadcast(known)
+    anywhere = bad.filter("host IS NULL").agg(F.collect_list("line").alias("anywhere"))
+    lists = bad.filter("host IS NOT NULL").groupBy("host").agg(F.collect_list("line").alias("lines"))
+    held = docs.withColumn("host_key", host).join(lists.withColumnRenamed("host", "host_key"), "host_key", "left").crossJoin(anywhere).drop("host_key")
+    none = F.array().cast("array<bigint>")
+    return held.withColumn("boiler", F.concat(F.coalesce("lines", none), F.coalesce("anywhere", none))).drop("lines", "anywhere"), None
 
 
 def judge(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
     """One row per document: the counts, base_failed and the verdict ``kept``."""
-    held = _with_boiler(docs.select("doc_id", "text", "source"), **limits).select("doc_id", "text", "boiler")
-    return held.mapInArrow(tk.frugal(_judged(depleted, False)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}")
+    held, known = _with_boiler(docs.select("doc_id", "text", "source"), **limits)
+    return held.select("doc_id", "text", "boiler").mapInArrow(tk.frugal(_judged(depleted, False, known)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}")
 
 
 def clean(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
     """The kept documents in the columns they came in, boilerplate lines removed."""
     extra = [f for f in docs.schema.fields if f.name != "text"]
     packed = docs.select(F.struct(*[docs[f.name] for f in extra]).alias("rest"), docs["text"].alias("text"), docs["source"].alias("source"))
-    held = _with_boiler(packed, **limits).select("rest", "text", "boiler")
-    done = held.mapInArrow(tk.frugal(_judged(depleted, True)), f"rest {T.StructType(extra).simpleString()}, {_OUT}, cleaned string").filter("kept")
+    held, known = _with_boiler(packed, **limits)
+    held = held.select("rest", "text", "boiler")
+    done = held.mapInArrow(tk.frugal(_judged(depleted, True, known)), f"rest {T.StructType(extra).simpleString()}, {_OUT}, cleaned string").filter("kept")
     texts = {"text": F.col("cleaned"), "n_chars": F.char_length("cleaned").cast("bigint")}
     return done.select(*[texts.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
@@ -226,7 +241,8 @@ total AS (SELECT host, count(*) AS texts FROM firsts GROUP BY host),
 held AS (
   SELECT l.host, l.normal, count(DISTINCT l.doc_id) AS held
   FROM lines l JOIN firsts f ON l.doc_id = f.doc_id AND l.host = f.host WHERE l.normal <> '' GROUP BY 1, 2),
-bad AS (SELECT h.host, h.normal FROM held h JOIN total t USING (host) WHERE held > 20 AND held > 0.1 * texts),
+everywhere AS (SELECT normal FROM held GROUP BY 1 HAVING sum(held) > 20 AND sum(held) > 0.02 * (SELECT sum(texts) FROM total)),
+bad AS (SELECT h.host, h.normal FROM held h JOIN total t USING (host) WHERE (held > 20 AND held > 0.02 * texts) OR h.normal IN (SELECT normal FROM everywhere)),
 lost AS (
   SELECT l.doc_id, sum(CASE WHEN b.normal IS NOT NULL THEN strlen(l.normal) ELSE 0 END) > 0.5 * sum(strlen(l.normal)) AS lost
   FROM lines l LEFT JOIN bad b ON l.host = b.host AND l.normal = b.normal GROUP BY l.doc_id),
