@@ -106,7 +106,7 @@ def linear(conversations: DataFrame) -> DataFrame:
     """Messages of a table (conv_id, turn, role, text): each turn answers the one before."""
     w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = conversations.select("conv_id", "role", "text", F.row_number().over(w).alias("place"))
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
+    tree = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))
     node = lambda place: F.concat(tree, F.lit("/"), F.format_string("%012d", place))
     return placed.select(
         "conv_id", tree.alias("tree"), node(F.col("place")).alias("node"), F.when(F.col("place") > 1, node(F.col("place") - 1)).alias("parent"),
@@ -121,20 +121,25 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tree, text in zip(b.column("tree").to_pylist(), b.column("formatted").to_pylist(), strict=True):
             turns = parse(text)
             loss = "".join(t for r, t in turns if r == LEARNED)
-            for k, v in zip(rows, (None if tree == "null" else int(tree), len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)), strict=True):
+            for k, v in zip(rows, (None if tree == "null" else tree[1:], len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)), strict=True):
                 rows[k].append(v)
-        kinds = {"turns_sha256": pa.string(), "loss_sha256": pa.string()}
+        kinds = {"conv_id": pa.string(), "turns_sha256": pa.string(), "loss_sha256": pa.string()}
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()], names=list(rows))
 
 
+def digests(conversations: DataFrame) -> DataFrame:
+    """The figures of every conversation of a table (conv_id, turn, role, text), read back from its formatted form."""
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    done = format_trees(linear(conversations.select("conv_id", "turn", "role", "text"))).select("tree", "formatted")
+    read = done.mapInArrow(_read_back, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return read.withColumn("conv_id", F.col("conv_id").cast(kind))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every conversation, and conversation -7."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", EXTRA), (-7, 1, LEARNED, EXTRA)], "conv_id bigint, turn bigint, role string, text string")
-    done = format_trees(linear(table.unionByName(extra)))
-    return done.select("tree", "formatted").mapInArrow(
-        _read_back, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    )
+    return digests(table.unionByName(extra))
 
 
 #: The same rows in DuckDB.

@@ -10,6 +10,7 @@ doc_id), never rows with crc32(doc_id as text) mod 3 = 1. Everything is scored.
 
 Defined results: a null or empty text is scored from its statistics; without
 usable labels every score is 0.5; null labels and null ids are not fitted on;
+of a doc_id labelled more than once the lower label counts, and one of its rows is fitted on;
 repeated rows get equal scores; an empty table gives an empty result.
 """
 
@@ -121,17 +122,19 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, d, o in tk.chunks(data, off):
             ids, x, at = features(d, o)
             lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in (ids, x)]
-            yield pa.RecordBatch.from_arrays([b.column("label").slice(i, j - i), *lists], names=["label", "ids", "x"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in ("doc_id", "label")), *lists], names=["doc_id", "label", "ids", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = MAX_TRAIN) -> Machine:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (fold != 1))
-    chosen = usable.select("doc_id", F.col(target).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    # At most ``most`` rows of two numbers are broadcast.
+    usable = usable.groupBy("doc_id").agg(F.min(F.col(target).cast("int")).alias("label"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # At most ``most`` rows of two numbers are broadcast, and as many rows of features collected, each of SIZE at most.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.select("label", "text")
-    got = texts.mapInArrow(_featurise, "label int, ids array<int>, x array<float>").toArrow()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = texts.select("doc_id", "label", "text").mapInArrow(_featurise, f"doc_id {kind}, label int, ids array<int>, x array<float>")
+    got = found.groupBy("doc_id").agg(F.min(F.struct("label", "ids", "x")).alias("one")).select("one.*").toArrow()
     rows = [(np.asarray(i.values, np.int32), np.asarray(x.values, np.float32), y) for i, x, y in zip(got["ids"], got["x"], got["label"].to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))  # the order of tasks must not matter
     return fit(rows)

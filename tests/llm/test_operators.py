@@ -158,7 +158,82 @@ def test_chat_paths_and_round_trip(spark):
     assert chat_format.format_trees(m, branches=1).count() == 2 and chat_format.format_trees(m.limit(0)).count() == 0
     long = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(300)] + [(None, None, None, None), (1, 3, "user", "m3")], "conv_id bigint, turn bigint, role string, text string")
     done = {r.tree: chat_format.parse(r.formatted) for r in chat_format.format_trees(chat_format.linear(long)).collect()}
-    assert len(done["1"]) == 301 and done["1"][:5] == [("user", f"m{i}") for i in (0, 1, 2, 3, 3)] and done["null"] == [("", "")]
+    assert len(done["c1"]) == 301 and done["c1"][:5] == [("user", f"m{i}") for i in (0, 1, 2, 3, 3)] and done["null"] == [("", "")]
+
+
+def test_chat_of_any_key(spark):
+    """Text keys, a key that reads null, clashing columns, an empty table."""
+    rows = [("null", 0, "user", "a", 1), (None, 0, "user", "b", 2), ("x/1", 1, "assistant", "c", 3), ("x/1", 0, None, None, 4)]
+    t = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string, tree int")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.digests(t).collect()}
+    assert got == {"null": (1, 0), None: (1, 0), "x/1": (2, 1)} and chat_format.digests(t.limit(0)).count() == 0
+
+
+def test_ranked_branches_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows, paths = [], []
+    for t in range(12):
+        parent = {0: None}
+        for k in range(1, int(rng.integers(2, 25))):
+            parent[k] = int(rng.integers(0, k))
+        score = {k: float(rng.integers(0, 9)) for k in parent}
+        depth = {}
+        for k, up in parent.items():
+            depth[k] = 0 if up is None else depth[up] + 1
+            rows.append((f"t{t}", f"{t}-{k:02d}", None if up is None else f"{t}-{up:02d}", depth[k], "user", f"m{k}", score[k]))
+        for leaf in set(parent) - set(parent.values()):
+            path = [leaf]
+            while parent[path[-1]] is not None:
+                path.append(parent[path[-1]])
+            paths.append((f"t{t}", f"{t}-{leaf:02d}", np.mean([score[k] for k in path]), [("user", f"m{k}") for k in reversed(path)]))
+    want = {}
+    for t, leaf, mean, turns in paths:
+        rank = 1 + sum(u == t and (-m, other) < (-mean, leaf) for u, other, m, _ in paths)
+        if rank <= 3:
+            want[t, rank] = turns
+    m = spark.createDataFrame(rows, "tree string, node string, parent string, place int, role string, text string, score double")
+    assert {(r.tree, r["rank"]): chat_format.parse(r.formatted) for r in chat_format.format_trees(m, branches=3).collect()} == want
+
+
+def test_quality_fit_against_plain_loops(monkeypatch):
+    """One epoch of the vectorised fit is the textbook update, feature by feature."""
+    from math import exp, sqrt
+
+    monkeypatch.setattr(quality_model, "EPOCHS", 1)
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)).astype(np.int32), rng.random(6).astype(np.float32), int(k % 2)) for k in range(40)]
+    got = quality_model.fit(rows)
+    r = np.random.RandomState(quality_model.SEED)
+    v = r.normal(0, 0.05, (quality_model.SIZE, quality_model.FACTORS)).astype(np.float32).astype(float)
+    w, bias, gw, gv, gb = np.zeros(40), 0.0, np.full(40, 1e-6), np.full((40, quality_model.FACTORS), 1e-6), 1e-6
+    order = r.permutation(len(rows))
+    for b in range(0, len(order), quality_model.BATCH):
+        some = [rows[i] for i in order[b : b + quality_model.BATCH]]
+        dw, dv, db = {}, {}, 0.0
+        for ids, x, y in some:
+            z = bias + sum(w[i] * a for i, a in zip(ids, x)) + sum(v[i] @ v[j] * a * c for p, (i, a) in enumerate(zip(ids, x)) for j, c in list(zip(ids, x))[:p])
+            miss = (1 / (1 + exp(-z)) - y) / len(some)
+            db += miss
+            total = sum(v[i] * a for i, a in zip(ids, x))
+            for i, a in zip(ids, x):
+                dw[i] = dw.get(i, 0.0) + miss * a
+                dv[i] = dv.get(i, 0.0) + miss * a * (total - v[i] * a)
+        for i in dw:
+            d, e = dw[i] + 1e-5 * w[i], dv[i] + 1e-4 * v[i]
+            gw[i] += d * d
+            gv[i] += e * e
+            w[i] -= quality_model.RATE * d / sqrt(gw[i])
+            v[i] -= quality_model.RATE * e / np.sqrt(gv[i])
+        gb += db * db
+        bias -= quality_model.RATE * db / sqrt(gb)
+    assert np.allclose(got.linear[:40], w, atol=2e-3) and np.allclose(got.factors[:40], v[:40], atol=2e-3) and abs(got.bias - bias) < 2e-3
+
+
+def test_labels_twice_and_repeated_rows(spark):
+    docs = table(spark, ["good text here", "bad # text", "good text here", None, "x " * 50000], [1, 2, 1, 4, 5])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0), (4, 1, 1), (None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
+    m = quality_model.train(docs, labels)
+    assert quality_model.score(docs, m).count() == 5 and quality_model.score(docs.limit(0), m).count() == 0
 
 
 def test_cascade_is_exact(spark):
