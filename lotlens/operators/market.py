@@ -81,13 +81,17 @@ def firm_rows(wins: DataFrame, firm: str, date: str, value: str, label: str, reg
 
     The split date is one number of the whole table, joined as a broadcast row.
     """
-    split = wins.agg(F.percentile(F.unix_date(date), 0.5).alias("split"))
-    w = wins.crossJoin(F.broadcast(split))
+    # A day is a number, of which there are few: the median is taken of counts by day.
+    days = wins.groupBy(F.unix_date(date).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    split = F.broadcast(days.agg(F.percentile("day", 0.5, F.col("n")).alias("split")))
+    w = wins.crossJoin(split)
     late = F.unix_date(date) >= F.col("split")
-    return w.groupBy(firm).agg(
-        F.count(F.lit(1)).alias("wins"), F.count_if(F.col(label) <= 1).alias("low_wins"), F.percentile(value, 0.5).alias("median_value"), F.count_distinct(region).alias("regions"),
-        F.count_distinct(buyer).alias("buyers"), F.count_if(~late).alias("early"), F.count_if(late).alias("late"),
-    )
+    # Wins by region and buyer first: distinct values are then counted over far fewer rows.
+    per = w.groupBy(firm, region, buyer).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) <= 1).alias("low"), F.count_if(~late).alias("early"), F.count_if(late).alias("late"))
+    one = per.groupBy(firm).agg(
+        F.sum("n").alias("wins"), F.sum("low").alias("low_wins"), F.count_distinct(region).alias("regions"), F.count_distinct(buyer).alias("buyers"), F.sum("early").alias("early"), F.sum("late").alias("late")
+    )
+    return one.join(wins.groupBy(firm).agg(F.percentile(value, 0.5).alias("median_value")), firm)
 
 
 def modal_value(df: DataFrame, by: Sequence[str], value: str, seq: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from . import stats
+from .ranks import quantiles
 
 # Fixed values.
 TOO_GOOD_ROC, EPSILON, THRESHOLD, SEED = 0.85, 0.005, 0.5, 42
@@ -50,14 +51,17 @@ def contributions(model: PipelineModel, df: DataFrame, numeric: Sequence[str], k
 
     Leave-one-out against medians; not additive like tree path values, and documented as such.
     """
-    typical = df.agg(*[F.percentile(c, 0.5).alias(c) for c in numeric]).first()
-    base = score(model, df).select(*key, F.col("score").alias("__base"))
-    out = None
+    typical = {c: quantiles(df, [], c, [0.5]).first() for c in numeric}
+    typical = {c: r and r["q0"] for c, r in typical.items()}
+    # Each row once as it is and once for every feature, scored in one pass.
+    variants = F.array(F.lit(None).cast("string"), *[F.lit(c) for c in numeric])
+    each = df.withColumn("__feature", F.explode(variants))
     for c in numeric:
-        one = score(model, df.withColumn(c, F.lit(float(typical[c] or 0.0)))).select(*key, F.col("score").alias("__without"))
-        d = base.join(one, list(key)).select(*key, F.lit(c).alias("feature"), (F.col("__base") - F.col("__without")).alias("delta"))
-        out = d if out is None else out.union(d)
-    return out
+        each = each.withColumn(c, F.when(F.col("__feature") == c, F.lit(float(typical[c] or 0.0))).otherwise(F.col(c).cast("double")))
+    scored = score(model, each).groupBy(*key).agg(
+        F.max(F.when(F.col("__feature").isNull(), F.col("score"))).alias("__base"), F.array(*[F.struct(F.lit(c).alias("feature"), F.max(F.when(F.col("__feature") == c, F.col("score"))).alias("s")) for c in numeric]).alias("__f")
+    )
+    return scored.select(*key, "__base", F.inline("__f")).select(*key, "feature", (F.col("__base") - F.col("s")).alias("delta"))
 
 
 @dataclass(frozen=True)
@@ -113,5 +117,5 @@ def register(path: str, entry: Mapping[str, object]) -> None:
 
 def predict_open(model: PipelineModel, open_lots: DataFrame, ledger: DataFrame, key: Sequence[str], tie: str, threshold: float = THRESHOLD) -> DataFrame:
     """Scores, tiers and flags of open lots that the ledger lacks."""
-    ranked = stats.tiers(score(model, open_lots).withColumn("__b", F.lit(1)), ["__b"], "score", tie).drop("__b")
+    ranked = stats.tiers(score(model, open_lots), [], "score", tie)
     return ranked.withColumn("flag", F.col("score") >= threshold).join(ledger.select(*key), list(key), "left_anti")

@@ -52,11 +52,18 @@ def simulation_check(picks: DataFrame, trade: str, company: str, truth: Column,
     return by_trade, per.agg(F.count(F.lit(1)).alias("companies"), F.count_if(F.col("hit") > 0.5).alias("mostly_hit"))
 
 
-def spread_against_chance(df: DataFrame, group: str, key: str, truth: str, seed: str = "7", least: int = 30) -> DataFrame:
-    """Spread of group rates, and the same after dealing the outcomes anew."""
-    dealt = stats.permuted_all(df.select(group, key, truth), key, truth, seed)
-    rates = dealt.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(truth).cast("double")).alias("rate"), F.avg(F.col("shuffled").cast("double")).alias("chance")).filter(F.col("n") >= least)
-    return rates.agg(F.count(F.lit(1)).alias("groups"), F.stddev_samp("rate").alias("spread"), F.stddev_samp("chance").alias("chance_spread"))
+def spread_against_chance(df: DataFrame, group: str, cell: str, key: str, truth: str, seed: str = "7", least: int = 30) -> DataFrame:
+    """(group, cells, rows, spread, chance_spread): the spread of the rates of a group's cells, and the same after dealing the outcomes anew within the group."""
+    dealt = stats.permuted(df.select(group, cell, key, truth), [group], key, truth, seed)
+    rates = dealt.groupBy(group, cell).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(truth).cast("double")).alias("rate"), F.avg(F.col("shuffled").cast("double")).alias("chance")).filter(F.col("n") >= least)
+    return rates.groupBy(group).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"), F.stddev_samp("rate").alias("spread"), F.stddev_samp("chance").alias("chance_spread"))
+
+
+def cardinalities(df: DataFrame, cols: Sequence[str], least: int = 30) -> DataFrame:
+    """(column, distinct, large): values of each column and those with at least ``least`` rows."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("x")).select("x.*").filter("value IS NOT NULL")
+    n = each.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("n") >= least).alias("large"))
 
 
 def document(lots: DataFrame, meta: Mapping[str, object]) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as fn
+from .ranks import placed, quantiles
 
 
 def confusion(df: DataFrame, flag: Column, truth: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -24,8 +25,7 @@ def confusion(df: DataFrame, flag: Column, truth: Column, by: Sequence[str] = ()
 
 def top_slice(df: DataFrame, by: Sequence[str], score: str, tie: str, truth: Column, share: float = 0.2) -> DataFrame:
     """Hits among the top share by score (half-even size, at least 1), base rate and lift."""
-    w = W.partitionBy(*by)
-    ranked = df.withColumn("__k", F.row_number().over(w.orderBy(F.desc(score), tie))).withColumn("__n", F.count(F.lit(1)).over(w))
+    ranked = placed(df, by, [F.desc(score), F.col(tie)])
     top = F.col("__k") <= fn.slice_size(F.col("__n"), share)
     out = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(top).alias("k"), F.avg(F.when(top, truth.cast("double"))).alias("hit"), F.avg(truth.cast("double")).alias("base")
@@ -57,9 +57,7 @@ def average_precision(df: DataFrame, by: Sequence[str], score: str, truth: Colum
 
 def tiers(df: DataFrame, by: Sequence[str], score: str, tie: str, high: float = 0.1, medium: float = 0.2) -> DataFrame:
     """rank within a batch and HIGH / MEDIUM / LOW by half-even shares."""
-    w = W.partitionBy(*by)
-    n = F.count(F.lit(1)).over(w)
-    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), tie))).withColumn("batch", n)
+    ranked = placed(df, by, [F.desc(score), F.col(tie)], "rank", "batch")
     first = fn.slice_size(F.col("batch"), high)
     return ranked.withColumn("tier", F.when(F.col("rank") <= first, "HIGH").when(F.col("rank") <= first + fn.slice_size(F.col("batch"), medium), "MEDIUM").otherwise("LOW"))
 
@@ -69,7 +67,8 @@ def psi(history: DataFrame, recent: DataFrame, value: str, bins: int = 10, floor
 
     The edges are one small row; both sides are aggregated once by bin.
     """
-    edges = history.agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(bins + 1)])))).alias("edges"))
+    cuts = quantiles(history, [], value, [k / bins for k in range(bins + 1)])
+    edges = cuts.select(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.col(f"q{k}").cast("double") for k in range(bins + 1)])))).alias("edges"))
     inner = lambda e: F.when(F.size(e) >= 3, F.slice(e, 2, F.size(e) - 2))
     both = history.select(F.col(value).alias("v"), F.lit(0).alias("late")).union(recent.select(F.col(value).alias("v"), F.lit(1).alias("late"))).filter("v IS NOT NULL")
     binned = both.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner(F.col("edges")), lambda x: x <= F.col("v"))))
@@ -108,7 +107,8 @@ def null_jump(df: DataFrame, recent: Column, cols: Sequence[str], limit: float =
 
 def median_shift(df: DataFrame, recent: Column, value: str, days: float = 14, share: float = 0.25) -> DataFrame:
     """Medians that differ by max(days, share of the old one) or more."""
-    out = df.agg(F.percentile(F.when(recent, F.col(value)), 0.5).alias("recent"), F.percentile(F.when(~recent, F.col(value)), 0.5).alias("past"))
+    sides = quantiles(df.select(F.when(recent, 1).when(~recent, 0).alias("side"), value).filter("side IS NOT NULL"), ["side"], value, [0.5])
+    out = sides.agg(F.max(F.when(F.col("side") == 1, F.col("q0"))).alias("recent"), F.max(F.when(F.col("side") == 0, F.col("q0"))).alias("past"))
     return out.withColumn("shifted", F.abs(F.col("recent") - F.col("past")) >= F.greatest(F.lit(float(days)), share * F.col("past")))
 
 
@@ -132,14 +132,12 @@ def number_profile(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def permuted(df: DataFrame, by: Sequence[str], key: str, value: str, seed: str, name: str = "shuffled") -> DataFrame:
-    """Values of a group dealt anew among its rows by a hash order; repeatable, no collect."""
-    own = W.partitionBy(*by).orderBy(key)
-    drawn = W.partitionBy(*by).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed)).cast("binary")), key)
-    placed = df.withColumn("__to", F.row_number().over(own)).withColumn("__from", F.row_number().over(drawn))
-    dealt = placed.select(*by, F.col("__from").alias("__to"), F.col(value).alias(name))
-    return placed.join(dealt, [*by, "__to"]).drop("__to", "__from")
-
-
-def permuted_all(df: DataFrame, key: str, value: str, seed: str, groups: int = 64) -> DataFrame:
-    """Labels shuffled without a group: dealt within hash groups of keys so that no single task sees them all."""
-    return permuted(df.withColumn("__g", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(groups))), ["__g"], key, value, seed).drop("__g")
+    """Values of a group (of the table without one) dealt anew among its rows by a hash order; repeatable, no collect."""
+    drawn = F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + seed)).cast("binary"))
+    to = placed(df, by, [key], "__to", "__n").drop("__n")
+    dealt = placed(df.select(*by, key, value, drawn.alias("__d")), by, ["__d", key], "__from", "__n")
+    dealt = dealt.select(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(by)], "__from", F.col(value).alias(name))
+    same = F.col("__to") == F.col("__from")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    return to.join(dealt, same).drop("__to", "__from", *[f"__g{k}" for k in range(len(by))])

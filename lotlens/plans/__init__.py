@@ -1,6 +1,6 @@
 """All queries over the star-schema tables; importing the package registers them."""
 
-from . import firms, grading, language, lexicon, market, notices, profiles
+from . import extras, firms, grading, language, lexicon, market, notices, profiles
 from .base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "firms", "grading", "language", "lexicon", "market", "notices", "profiles"]
+__all__ = ["QUERIES", "SQL", "extras", "firms", "grading", "language", "lexicon", "market", "notices", "profiles"]

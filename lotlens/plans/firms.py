@@ -137,11 +137,22 @@ def copy_verification(t: Tables) -> DataFrame:
     return lg.verified(a, t.orders.select((F.col("o_custkey") % 25).alias("k")))
 
 
-@query("spread_against_chance")
+@query(
+    "spread_against_chance",
+    f"""WITH {LOTS}, x AS (SELECT lot, priority, buyer % 5 AS cell, (n_tenders <= 2)::INT AS low FROM lots WHERE n_tenders IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY lot) AS place, row_number() OVER (PARTITION BY priority ORDER BY md5(lot::VARCHAR || '|7'), lot) AS drawn FROM x),
+    d AS (SELECT a.*, b.low AS shuffled FROM o a JOIN o b ON a.priority = b.priority AND a.place = b.drawn), r AS (SELECT priority, cell, count(*) AS n, avg(low) AS rate, avg(shuffled) AS chance FROM d GROUP BY 1, 2 HAVING count(*) >= 30)
+    SELECT priority, count(*) AS cells, sum(n)::BIGINT AS rows, round(stddev_samp(rate), 6) AS spread, round(stddev_samp(chance), 6) AS chance_spread FROM r GROUP BY 1""",
+)
 def spread_against_chance(t: Tables) -> DataFrame:
-    """The dealing is a hash order within hash groups."""
-    x = lots(t).filter("n_tenders IS NOT NULL").withColumn("low", (F.col("n_tenders") <= 1).cast("int"))
-    return rounded(rp.spread_against_chance(x, "priority", "lot", "low"), "spread", "chance_spread")
+    """The outcomes of a priority dealt anew among its lots."""
+    x = lots(t).filter("n_tenders IS NOT NULL").withColumn("low", (F.col("n_tenders") <= 2).cast("int")).withColumn("cell", F.col("buyer") % 5)
+    return rounded(rp.spread_against_chance(x, "priority", "cell", "lot", "low"), "spread", "chance_spread")
+
+
+@query("cardinalities", "WITH e AS (SELECT 'p_brand' AS \"column\", p_brand AS v FROM part UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_size', p_size::VARCHAR FROM part), n AS (SELECT \"column\", v, count(*) AS n FROM e GROUP BY 1, 2) SELECT \"column\", count(*) AS \"distinct\", count(*) FILTER (n >= 30) AS large FROM n GROUP BY 1")
+def cardinalities(t: Tables) -> DataFrame:
+    """E49."""
+    return rp.cardinalities(t.part, ["p_brand", "p_type", "p_size"])
 
 
 @query("preferred_language", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'any' END AS text FROM events")

@@ -247,7 +247,7 @@ def calibration_grid(t: Tables) -> DataFrame:
 @query("recall_threshold", f"WITH {_COMP} SELECT round(quantile_cont(text, 0.1), 6) AS bar FROM comp JOIN labels USING (doc_id) WHERE quality = 1")
 def recall_threshold(t: Tables) -> DataFrame:
     x = _components(t).join(t.labels.filter("quality = 1").select("doc_id"), "doc_id")
-    return x.agg(r6(vc.at_recall(x, "text")).alias("bar"))
+    return vc.at_recall(x, "text").select(r6("threshold").alias("bar"))
 
 
 # --- time travel ------------------------------------------------------------------------------------
