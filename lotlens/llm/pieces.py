@@ -419,7 +419,7 @@ def _encoded(model: bytes, seed: int, rate: float):
             data, off = tk.buffers(b.column("text"))
             for i, j, d, o in tk.chunks(data, off, CHUNK_BYTES):
                 texts = b.column("text").slice(i, j - i).to_pylist()
-                keys = tk.span_hashes(d, o[:-1], o[1:])
+                keys = np.array([int.from_bytes(tk.digest(d[a:z].tobytes())[:8], "little") for a, z in zip(o[:-1], o[1:], strict=True)], np.uint64)
                 ids, at = encode_texts(p, texts, keys, seed, rate)
                 same = [decode(p, ids[at[k] : at[k + 1]].tolist()) == (t or "") for k, t in enumerate(texts)]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Odd base of the rough hashes modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
@@ -120,6 +120,27 @@ def word_bounds(data: np.ndarray, off: np.ndarray, kind: np.ndarray = WORD) -> t
     return starts, ends, np.searchsorted(starts, off)
 
 
+def _in_blocks(hashes: Callable) -> Callable:
+    """Spans of a very long text are hashed by blocks of their starts, so that no array is as long as the text."""
+
+    @functools.wraps(hashes)
+    def run(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(data) <= 2 * CHUNK_BYTES or len(starts) == 0:
+            return hashes(data, starts, ends)
+        order = np.argsort(starts, kind="stable")
+        bounds = np.searchsorted(starts[order], np.arange(0, len(data) + CHUNK_BYTES, CHUNK_BYTES))
+        out = np.zeros(len(starts), np.uint64)
+        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+            if z > a:
+                k = order[a:z]
+                low = starts[k[0]]
+                out[k] = hashes(data[low : ends[k].max()], starts[k] - low, ends[k] - low)
+        return out
+
+    return run
+
+
+@_in_blocks
 def rough_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit number of each span of bytes, equal for equal spans; other long spans may share it, so it only deals out work."""
     n = len(data)
@@ -141,6 +162,7 @@ def _spanned(low: np.ndarray, high: np.ndarray, starts: np.ndarray, ends: np.nda
     return _reduced(_reduced(a) + (b >> np.uint64(30)) + ((b & _M30) << np.uint64(31)))
 
 
+@_in_blocks
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, equal for equal spans anywhere: a polynomial modulo 2^61 - 1 at a drawn base.
 
@@ -149,10 +171,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     n = len(data)
     if n == 0 or len(starts) == 0:
         return np.zeros(len(starts), np.uint64)
-    _table("drawn", _DRAWN, n, _times)
     back = _table("undrawn", pow(_DRAWN, -1, _PRIME), n + 1, _times)
     if len(_TABLES.get("low", ())) < n:
-        _TABLES["low"], _TABLES["high"] = _TABLES["drawn"] & _M31, _TABLES["drawn"] >> np.uint64(31)
+        _table("drawn", _DRAWN, n, _times)
+        power = _TABLES.pop("drawn")  # only its halves are used
+        _TABLES["low"], _TABLES["high"] = power & _M31, power >> np.uint64(31)
     x = data.astype(np.uint64) + np.uint64(1)
     low, high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
     np.cumsum(x * _TABLES["low"][:n], out=low[1:])
