@@ -15,7 +15,7 @@ MEASURE_MAX_DAYS, CONTRACT_MAX_DAYS = 365 * 100, 365 * 20
 # Widths of the levels of hierarchical codes.
 LEVELS = {"cpv_main": (3, 4, 6, 8), "cpv": (2, 3, 4), "nuts": (3, 4, 5), "postal": (1,)}
 # Legal forms stripped from firm names.
-LEGAL_FORMS = ("gmbh", "mbh", "ag", "kg", "ohg", "gbr", "ug", "se", "ev", "co")
+LEGAL_FORMS = ("gmbh", "co", "kg", "ag", "mbh", "se", "ohg", r"e\.?k", "und")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -123,11 +123,11 @@ def nuts1(code: Column) -> Column:
 
 
 def alias_key(name: Column) -> Column:
-    """Firm spelling key: lowered, legal forms off, first two words; short keys keep the plain name."""
-    plain = F.trim(F.regexp_replace(F.lower(name), "[^a-zäöüß0-9]+", " "))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(plain, rf"\b({'|'.join(LEGAL_FORMS)})\b", " "), " +", " "))
-    key = F.array_join(F.slice(F.split(bare, " "), 1, 2), " ")
-    return F.when(F.length(key) >= 6, key).otherwise(F.lower(F.trim(name)))
+    """Firm spelling key: lowered, legal forms and all but letters off, first two words; short keys keep the plain name."""
+    bare = F.regexp_replace(F.lower(name), rf"\b({'|'.join(LEGAL_FORMS)})\b", " ")
+    words = F.filter(F.split(F.regexp_replace(bare, "[^a-zäöüß ]", " "), " +"), lambda w: w != "")
+    key = F.array_join(F.slice(words, 1, 2), " ")
+    return F.when(F.length(key) >= 6, key).otherwise(F.lower(name))
 
 
 def norm_buyer(name: Column) -> Column:

@@ -138,10 +138,8 @@ def modal_size(t: Tables) -> DataFrame:
 @query(
     "alias_groups",
     """WITH n AS (SELECT DISTINCT c_mktsegment || ' ' || (c_nationkey % 3)::VARCHAR || CASE WHEN c_custkey % 2 = 0 THEN ' GmbH' ELSE ' AG & Co. KG' END AS name FROM customer),
-    p AS (SELECT name, trim(regexp_replace(lower(name), '[^a-zäöüß0-9]+', ' ', 'g')) AS plain FROM n),
-    b AS (SELECT name, trim(regexp_replace(regexp_replace(plain, '\\b(gmbh|mbh|ag|kg|ohg|gbr|ug|se|ev|co)\\b', ' ', 'g'), ' +', ' ', 'g')) AS bare FROM p),
-    k AS (SELECT name, array_to_string(string_split(bare, ' ')[1:2], ' ') AS key FROM b),
-    a AS (SELECT name, CASE WHEN length(key) >= 6 THEN key ELSE lower(trim(name)) END AS alias FROM k)
+    k AS (SELECT name, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(name), '\\b(gmbh|co|kg|ag|mbh|se|ohg|e\\.?k|und)\\b', ' ', 'g'), '[^a-zäöüß ]', ' ', 'g'), ' '), lambda x: x <> '')[1:2], ' ') AS key FROM n),
+    a AS (SELECT name, CASE WHEN length(key) >= 6 THEN key ELSE lower(name) END AS alias FROM k)
     SELECT alias, count(*) AS spellings, string_agg(name, ';' ORDER BY name) AS names FROM a GROUP BY 1 HAVING count(*) > 1""",
 )
 def alias_groups(t: Tables) -> DataFrame:
@@ -160,7 +158,7 @@ def trade_economics(t: Tables) -> DataFrame:
 
 
 PROSPECTS = f"""{WINS},
-a AS (SELECT CASE WHEN length(firm) >= 6 THEN array_to_string(string_split(trim(regexp_replace(lower(firm), '[^a-zäöüß0-9]+', ' ', 'g')), ' ')[1:2], ' ') END AS alias, * FROM wins),
+a AS (SELECT lower(translate(firm, '0123456789#', 'abcdefghij ')) AS alias, * FROM wins),
 per AS (SELECT region, count(DISTINCT lot) / 6.5 AS per_year FROM wins GROUP BY 1),
 one AS (SELECT alias, count(*) AS wins, quantile_cont(value, 0.5) AS median_value, bool_or(region % 4 <> 0) AS contactable FROM a GROUP BY 1),
 rg AS (SELECT alias, sum(per_year) AS recs_year FROM (SELECT DISTINCT alias, region FROM a) JOIN per USING (region) GROUP BY 1),
@@ -173,7 +171,7 @@ prospects AS (
 
 
 def _prospects(t: Tables) -> DataFrame:
-    w = wins(t)
+    w = wins(t).withColumn("firm", F.translate("firm", "0123456789#", "abcdefghij "))  # names of letters, as alias keys drop digits
     per = w.groupBy("region").agg((F.count_distinct("lot") / 6.5).alias("per_year"))
     low = w.agg(F.avg((F.col("tenders") <= 1).cast("double")).alias("low_rate"))
     p = mk.prospects(w, "firm", "region", "value", low, per, F.col("region") % 4 != 0)
