@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .ranks import placed
+
 
 class World:
     """Every table as it was known before a date, as filtered views (nothing is copied)."""
@@ -110,3 +112,19 @@ def replay(scored: DataFrame, key: Sequence[str], cutoff: str, score: str, flag:
 def replay_weeks(replayed: DataFrame, week: str, truth: Column) -> DataFrame:
     """Flagged lots and precision by week."""
     return replayed.filter(F.col(week).isNotNull()).groupBy(week).agg(F.count(F.lit(1)).alias("flagged"), F.avg(truth.cast("double")).alias("precision"))
+
+
+def replay_plan(lots: DataFrame, date: str, cutoffs: DataFrame, cutoff: str = "cutoff", least: int = 300, every: int = 8) -> DataFrame:
+    """(cutoff, lots, week, recalibrates): the weeks whose world holds enough lots, numbered, and when the gate is calibrated anew.
+
+    Lots are counted by day first, so the join with the weeks (few, broadcast) is over days.
+    """
+    days = lots.groupBy(date).agg(F.count(F.lit(1)).alias("n"))
+    known = worlds(days, date, cutoffs, cutoff).groupBy(cutoff).agg(F.sum("n").alias("lots")).filter(F.col("lots") >= least)
+    week = F.row_number().over(W.orderBy(cutoff)) - 1  # as many rows as weeks
+    return known.withColumn("week", week).withColumn("recalibrates", F.col("week") % every == 0)
+
+
+def replay_ranks(scored: DataFrame, cutoff: str, score: str, tie: str, n: int) -> DataFrame:
+    """The first ``n`` lots of every cutoff by score."""
+    return placed(scored, [cutoff], [F.desc(score), F.col(tie)], "rank", "scored").filter(F.col("rank") <= n)

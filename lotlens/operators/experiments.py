@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as fn
 
@@ -105,3 +105,10 @@ def guardrail(readings: DataFrame, wrong: Column, least: int = 30) -> DataFrame:
     n = readings.agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("k"))
     low, high = fn.wilson(F.col("k"), F.col("n"))
     return n.select("n", "k", low.alias("low"), high.alias("high"), (F.col("n") >= least).alias("enough"))
+
+
+def paired_positions(a: DataFrame, b: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rows of two arms that stand at one place of their group; the columns of ``b`` get the ending _b."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    other = b.withColumn("place", place).select(*by, "place", *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in by])
+    return a.withColumn("place", place).join(other, [*by, "place"])

@@ -158,3 +158,13 @@ def verified(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.exceptAll(b).withColumn("side", F.lit("only_first"))
     right = b.select(*rows).exceptAll(a).withColumn("side", F.lit("only_second"))
     return left.union(right).groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def to_learn(wins: DataFrame, held: DataFrame, customer: str, ref: str) -> DataFrame:
+    """Won references of customers that the ledger does not hold yet."""
+    return wins.select(customer, ref).distinct().join(held.select(customer, ref), [customer, ref], "left_anti")
+
+
+def exported(ledger: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(seq, line): every row as the JSON line that it was written with, in the ledger's column order; NULLs stay."""
+    return ledger.select("seq", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))

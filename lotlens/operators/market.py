@@ -177,3 +177,9 @@ def slice_matrix(df: DataFrame, a: str, b: str, truth: Column, least: int = 25)
     """Rate by both keys, each key and overall (one pass with grouping sets), cells of at least ``least`` rows."""
     n = df.cube(a, b).agg(F.count(F.lit(1)).alias("n"), F.avg(truth.cast("double")).alias("rate"), F.grouping_id().cast("bigint").alias("level"))
     return n.filter(F.col("n") >= least)
+
+
+def rejected(prospect_rows: DataFrame) -> DataFrame:
+    """(reason, firms): why firms are no prospects; a firm may have several reasons."""
+    each = prospect_rows.filter("against <> ''").select("alias", F.explode(F.split("against", "; ")).alias("reason"))
+    return each.groupBy("reason").agg(F.count(F.lit(1)).alias("firms"))

@@ -88,3 +88,8 @@ def labelled(calls: DataFrame, awards: DataFrame, key: Sequence[str], label: str
 def contained(a: DataFrame, b: DataFrame) -> DataFrame:
     """H6: rows of ``a`` that ``b`` lacks, counting repeats."""
     return a.exceptAll(b)
+
+
+def with_first(df: DataFrame, other: DataFrame, key: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
+    """``df`` with columns of the first row of its key in ``other``, NULL where there is none."""
+    return df.join(first_row(other, key, order).select(*key, *cols), list(key), "left")

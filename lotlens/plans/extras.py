@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as fn
-from ..operators import features as ft, selection as sel, text as tx, vectors as vc
+from ..operators import asof, experiments as ex, features as ft, ledger as lg, market as mk, revisions as rv, selection as sel, stats, text as tx, vectors as vc
 from ..sources import notices as nt
-from .base import Tables, query, rounded
+from .base import LOTS, Tables, lots, query, rounded
 from .language import _PAIRS, _asked, _refs
+from .market import PROSPECTS, _prospects
 
 
 @query("lot_codes", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 5 THEN p_brand END, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END], lambda x: x IS NOT NULL AND x <> ''), ';') AS codes, CASE WHEN p_size > 20 THEN p_size ELSE p_partkey END AS deadline FROM part")
@@ -118,3 +119,73 @@ def criterion_kinds(t: Tables) -> DataFrame:
     texts = ["Der  Preis", "Preis ist nicht das einzige Zuschlagskriterium", "100 % Preis", "Qualität", "Most economically advantageous tender, Preis"]
     text = F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("p_partkey") % 5 + 1).cast("int"))
     return t.part.select("p_partkey", nt.criterion_kind(text).alias("kind"))
+
+
+@query(
+    "replay_plan",
+    f"WITH {LOTS}, c AS (SELECT unnest(generate_series(DATE '1995-03-01', DATE '1996-12-31', INTERVAL 7 DAY))::DATE AS cutoff), k AS (SELECT cutoff, count(*) AS lots FROM c JOIN lots ON pub < cutoff GROUP BY 1 HAVING count(*) >= 300) SELECT cutoff, lots, (row_number() OVER (ORDER BY cutoff) - 1)::INT AS week, (row_number() OVER (ORDER BY cutoff) - 1) % 8 = 0 AS recalibrates FROM k",
+)
+def replay_plan(t: Tables) -> DataFrame:
+    """L5."""
+    return asof.replay_plan(lots(t), "pub", asof.cutoffs(t.spark, "1995-03-01", "1996-12-31", 7))
+
+
+@query("replay_ranks", f"WITH {LOTS} SELECT month, lot, rank FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY value % 1000 DESC, lot) AS rank FROM lots) WHERE rank <= 5")
+def replay_ranks(t: Tables) -> DataFrame:
+    """G5."""
+    return asof.replay_ranks(lots(t).withColumn("score", F.col("value") % 1000), "month", "score", "lot", 5).select("month", "lot", "rank")
+
+
+@query(
+    "single_feature_audit",
+    """WITH e AS (SELECT l_returnflag = 'R' AS t, unnest(['quantity', 'tax', 'line']) AS feature, unnest([l_quantity, l_tax, l_linenumber + CASE WHEN l_returnflag = 'R' THEN 5 ELSE 0 END]) AS x FROM lineitem),
+    c AS (SELECT feature, x, count(*) AS n, count(*) FILTER (t) AS p FROM e GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY x) - (n - 1) / 2.0::DOUBLE AS rk FROM c),
+    a AS (SELECT feature, (sum(rk * p) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * sum(n - p)) AS auc FROM r GROUP BY 1) SELECT feature, round(greatest(auc, 1 - auc), 6) AS auc, greatest(auc, 1 - auc) >= 0.85 AS suspicious FROM a""",
+)
+def single_feature_audit(t: Tables) -> DataFrame:
+    """M8."""
+    late = F.col("l_returnflag") == "R"
+    x = t.lineitem.select(late.alias("t"), F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"), (F.col("l_linenumber") + F.when(late, 5).otherwise(0)).alias("line"))
+    return rounded(stats.single_feature_audit(x, ["quantity", "tax", "line"], F.col("t")), "auc")
+
+
+@query("leave_one_out", f"WITH {_PAIRS} SELECT vec_id, round(max(cos) FILTER (firm = label), 6) AS own, round(max(cos) FILTER (firm <> label), 6) AS foreign_best FROM c JOIN (SELECT vec_id AS ref, label FROM embeddings) USING (ref) GROUP BY 1")
+def leave_one_out(t: Tables) -> DataFrame:
+    """J11."""
+    x = vc.leave_one_out(_asked(t), t.embeddings.select(F.col("vec_id").alias("ref"), "embedding", "label"), "vec_id", "ref", "embedding", "label")
+    return rounded(x.withColumnRenamed("foreign", "foreign_best"), "own", "foreign_best")
+
+
+@query("paired_positions", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O') SELECT o_custkey, place, a.o_orderkey AS o_orderkey, b.o_orderkey AS o_orderkey_b FROM a JOIN b USING (o_custkey, place)")
+def paired_positions(t: Tables) -> DataFrame:
+    """C22."""
+    arm = lambda s: t.orders.filter(F.col("o_orderstatus") == s).select("o_custkey", "o_orderkey")
+    return ex.paired_positions(arm("F"), arm("O"), ["o_custkey"], ["o_orderkey"])
+
+
+@query("with_first", "WITH f AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) SELECT c_custkey, o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM customer LEFT JOIN f ON o_custkey = c_custkey")
+def with_first(t: Tables) -> DataFrame:
+    """C20, K19."""
+    o = t.orders.filter("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey")
+    x = rv.with_first(t.customer.select("c_custkey"), o, ["c_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderkey", "o_totalprice"])
+    return x.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@query("rejected_prospects", f"WITH {PROSPECTS} SELECT reason, count(*) AS firms FROM (SELECT unnest(string_split(against, '; ')) AS reason FROM prospects WHERE against <> '') GROUP BY 1")
+def rejected_prospects(t: Tables) -> DataFrame:
+    """E12."""
+    return mk.rejected(_prospects(t))
+
+
+@query("to_learn", "SELECT DISTINCT l_suppkey AS customer, l_partkey AS ref FROM lineitem WHERE (l_suppkey, l_partkey) NOT IN (SELECT (l_suppkey, l_partkey) FROM lineitem WHERE l_returnflag = 'R')")
+def to_learn(t: Tables) -> DataFrame:
+    """K14."""
+    w = t.lineitem.select(F.col("l_suppkey").alias("customer"), F.col("l_partkey").alias("ref"), "l_returnflag")
+    return lg.to_learn(w, w.filter("l_returnflag = 'R'"), "customer", "ref")
+
+
+@query("exported_ledger", """SELECT event_id AS seq, '{"user_id":' || user_id || ',"event_type":"' || event_type || '","note":null}' AS line FROM events""")
+def exported_ledger(t: Tables) -> DataFrame:
+    """A19."""
+    held = t.events.select(F.col("event_id").alias("seq"), "user_id", "event_type", F.lit(None).cast("string").alias("note"))
+    return lg.exported(held, ["user_id", "event_type", "note"])
