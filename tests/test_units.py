@@ -149,3 +149,32 @@ def test_synonyms_and_picks(spark):
     assert [(r.lot, r.word, r.token) for r in vc.best_synonym(tokens, words, "lot", "token", "word", "vec").collect()] == [(1, "w", "a")]
     picks, ranked = spark.createDataFrame([(1, 10)], "sub int, lot int"), spark.createDataFrame([(1, 11), (2, 12), (2, 13)], "sub int, lot int")
     assert {(r.sub, r.lot) for r in sel.picks_or_ranked(picks, ranked, "sub", [F.col("lot")], 1).collect()} == {(1, 10), (2, 12)}
+
+
+def test_recipes():
+    from lotlens.operators import profiles as pf
+
+    found = {"F": {"soft_floor": 0.4, "soft_consensus": 3, "threshold": 0.66, "code_threshold": 0.8, "soft_threshold": 0.7}, "H": {"soft_floor": 0.5, "soft_consensus": 2, "corroboration": 0.1}}
+    f, h = (pf.recipe(gate.GateConfig(), x, found) for x in "FH")
+    assert (f.min_relevance, f.min_code_hard, f.min_code_soft, f.soft_floor, f.soft_consensus) == (0.66, 0.8, 0.7, 0.4, 3)
+    assert (h.corroboration, h.soft_floor, h.min_relevance) == (0.1, 0.5, gate.GateConfig().min_relevance)
+    with pytest.raises(KeyError):
+        pf.recipe(gate.GateConfig(), "K", found)
+    assert ex.arm_verdict(400, [150, 149], [300, 300], 1, True) == ("no difference", None)
+
+
+def test_places_and_quantiles(spark):
+    from lotlens.operators import ranks
+
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 9 == 0 else int(k % 3), int(rng.integers(0, 40)), k) for k in range(900)]
+    df = spark.createDataFrame(rows, "g int, v int, id int").repartition(5)
+    got = {r.id: (r["__k"], r["__n"]) for r in ranks.placed(df, ["g"], [F.desc("v"), F.col("id")]).collect()}
+    for g in (None, 0, 1, 2):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in own] == [(k + 1, len(own)) for k in range(len(own))]
+    q = {r.g: (r.q0, r.q1, r.n) for r in ranks.quantiles(df, ["g"], "v", [0.1, 0.5]).collect()}
+    assert all(np.allclose(q[g][:2], np.quantile([r[1] for r in rows if r[0] == g], [0.1, 0.5])) for g in q) and len(q) == 4
+    whole = ranks.quantiles(df, [], "v", [0.95]).first()
+    assert abs(whole.q0 - np.quantile([r[1] for r in rows], 0.95)) < 1e-9 and whole.n == 900
+    assert ranks.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0 and ranks.placed(df.limit(0), [], ["v"]).count() == 0
