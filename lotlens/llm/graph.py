@@ -3,8 +3,9 @@
 Each round hangs every node under the smallest node it knows of, in
 O(log^2 n) rounds at worst and two or three for the star-shaped edges made
 here. Nothing is collected: a node's smallest neighbour is a partial
-aggregate, and a hub's edges are joined to one row. These rows are dealt out in
-an exchange of their own, so that adaptive execution may split a hub's edges.
+aggregate, and a hub's edges are joined to one row. These rows are dealt out by
+another key in between: the join then reads exchanges on both sides, and adaptive
+execution may split a hub's edges.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(e)
     mark = _mark(e)
     while True:  # until a round changes nothing, however many it takes
-        least = e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).repartition("u")
+        least = e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).repartition(F.xxhash64("u"))
         large = e.join(least.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition(F.xxhash64("u"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = cut(small.select("e.u", "e.v").filter("u <> v").distinct())
         now = _mark(new)

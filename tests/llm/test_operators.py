@@ -430,6 +430,14 @@ def test_components_end_only_when_settled(spark, monkeypatch):
     assert got == dict.fromkeys(range(60), 0)
 
 
+def test_hub_and_chain(spark):
+    hub = spark.range(1, 100_001).select(F.col("id").alias("u"), F.lit(0).cast("bigint").alias("v"))
+    mixed = lambda c: c * 7919 % 10_007
+    chain = spark.range(10_000).select((mixed(F.col("id")) + 200_000).alias("u"), (mixed(F.col("id") + 1) + 200_000).alias("v"))
+    got = components(hub.union(chain)).groupBy("root").count().collect()
+    assert sorted((r.root, r["count"]) for r in got) == [(0, 100_001), (200_000, 10_001)]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (2, 5), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u int, v int")).collect()}
