@@ -17,8 +17,8 @@ sets are one class before any pair is compared. A set too small to reach the
 threshold with any other set has no bands: it is matched exactly. Paragraphs of
 fewer than ``K`` words have one shingle, so all their words are matched.
 
-Bands: 5 of 2 minima, tuned for recall: a pair at 0.8 exactly misses all of
-them with probability 0.6 %, one at 0.9 with 0.02 %; equal sets never.
+Bands: 4 of 2 minima, tuned for recall: a pair at 0.8 exactly misses all of
+them with probability 1.7 %, one at 0.9 with 0.1 %; equal sets never.
 
 Defined results: a null or empty text has no paragraphs; rows with equal ids
 and texts count as one document and get equal rows; a null doc_id comes first;
@@ -32,13 +32,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import near_dup as nd, textkit as tk
 from .cluster import bounded, cut, small_batches
 from .graph import components
 
-K, BANDS, ROWS = 5, 5, 2
+K, BANDS, ROWS = 5, 4, 2
 REACH, LONGEST = 8, 64
 
 
@@ -106,28 +107,36 @@ def _prints(threshold: float) -> Callable:
                 keys = nd.bands(tk.minhashes(c.h, c.off, BANDS * ROWS), ROWS)
                 one, two = _digests(c.h, c.off)
                 ends = np.searchsorted(c.doc, np.arange(j - i + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (c.lo.astype(np.int32), c.hi.astype(np.int32), one, two)]
+                # A paragraph ends where the next begins, so n + 1 places tell n of them.
+                filled = np.flatnonzero(np.diff(ends) > 0)
+                edges = np.insert(c.lo, ends[filled + 1], c.hi[ends[filled + 1] - 1]).astype(np.int32)
+                more = np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
+                lists = [pa.ListArray.from_arrays(pa.array((ends + more).astype(np.int32)), pa.array(edges))]
+                lists += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (one, two)]
                 lists.append(pa.ListArray.from_arrays(pa.array((ends * BANDS).astype(np.int32)), pa.array(keys.ravel(), mask=np.repeat(~near, BANDS))))
                 keep = [b.column(n).slice(i, j - i) for n in ("doc_id", "version")]
-                yield pa.RecordBatch.from_arrays([*keep, *lists], names=["doc_id", "version", "lo", "hi", "one", "two", "bands"])
+                yield pa.RecordBatch.from_arrays([*keep, *lists], names=["doc_id", "version", "edges", "one", "two", "bands"])
 
     return run
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for text, items in zip(b.column("text"), b.column("wanted"), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            rows = [(x["one"], x["two"], x["times"], x["root"], raw[x["lo"] : x["hi"]]) for x in items.as_py()]
-            d = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-            o = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])])
-            h, at = tk.shingles(*tk.word_hashes(d, o), K)
-            sets = [h[at[k] : at[k + 1]].tobytes() for k in range(len(rows))]
-            digests = [np.array(r[:2], ">i8").tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(sets, pa.binary())],
-                names=["digest", "times", "root", "grams"],
-            )
+def _grams(wanted: Broadcast | None) -> Callable:
+    """The shingles of the paragraphs whose first number is among the wanted ones (sorted), or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = tk.buffers(b.column("text"))
+            for _, _, d, o in tk.chunks(data, off):
+                c = _Cut(d, o)
+                one, two = _digests(c.h, c.off)
+                k = np.arange(len(one))
+                if wanted is not None:
+                    w = wanted.value
+                    k = k[w[np.minimum(np.searchsorted(w, one), len(w) - 1)] == one] if len(w) else k[:0]
+                sets = [c.h[c.off[i] : c.off[i + 1]].tobytes() for i in k]
+                yield pa.RecordBatch.from_arrays([pa.array(one[k]), pa.array(two[k]), pa.array(sets, pa.binary())], names=["one", "two", "grams"])
+
+    return run
 
 
 def _number(digest: Column, at: int) -> Column:
@@ -143,24 +152,32 @@ def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = small_batches(docs)
-    rows = cut(docs.mapInArrow(tk.frugal(_prints(threshold)), f"doc_id {kind}, version bigint, lo array<int>, hi array<int>, one array<bigint>, two array<bigint>, bands array<bigint>"))
-    every = rows.select("doc_id", "version", F.inline(F.arrays_zip("lo", "hi", "one", "two")))
-    many = cut(every.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("one", "two"))
-    # Bands name their paragraph by the first half of its digest; a clash only joins two groups that are then compared.
+    rows = cut(docs.mapInArrow(tk.frugal(_prints(threshold)), f"doc_id {kind}, version bigint, edges array<int>, one array<bigint>, two array<bigint>, bands array<bigint>"))
+    n = F.size("one")
+    every = rows.select("doc_id", "version", F.inline(F.arrays_zip(F.slice("edges", F.lit(1), n).alias("lo"), F.slice("edges", F.lit(2), n).alias("hi"), "one", "two")))
+    # Few paragraphs occur twice: counted by one number first, by both where that one does.
+    twice = cut(every.groupBy("one").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("one"))
+    many = every.join(bounded(twice, nd.MOST_BROADCAST), "one", "left_semi").groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("one", "two")
+    # Bands name their paragraph by the first number of its digest; a clash only joins two groups that are then compared.
     held = F.flatten(F.transform("one", lambda x: F.array_repeat(x, BANDS)))
     banded = rows.select(F.inline(F.arrays_zip(F.col("bands").alias("band"), held.alias("node")))).filter("band IS NOT NULL")
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far").select("band", "hub")
     hubs = bounded(cut(hubs), nd.MOST_BROADCAST)
     near = cut(components(banded.join(hubs, "band").select(F.col("node").alias("u"), F.col("hub").alias("v"))))
-    members = every.join(bounded(near, nd.MOST_BROADCAST), every["one"] == near["node"]).groupBy("one", "two", "root").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("version", "lo", "hi")).alias("at"))
-    wanted = cut(members.groupBy("at.version").agg(F.collect_list(F.struct("one", "two", "times", "root", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))).alias("wanted")))
-    keys = bounded(wanted.select("version"), nd.MOST_BROADCAST)
-    texts = docs.select("version", "text").join(keys, "version", "left_semi").groupBy("version").agg(F.first("text").alias("text"))
-    sets = texts.join(wanted.hint("merge"), "version").select("text", "wanted").mapInArrow(tk.frugal(_grams), "digest binary, times bigint, root bigint, grams binary")
-    linked = nd.links(sets.withColumn("sig", F.lit(None).cast("binary")), 0, threshold)
+    few = near.count() <= nd.MOST_BROADCAST
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(near.select("node").toArrow().column("node").to_numpy())) if few else None
+    members = every.join(F.broadcast(near) if few else near, every["one"] == near["node"]).groupBy("one", "two", "root").agg(F.count(F.lit(1)).alias("times"), F.min("version").alias("version"))
+    members = cut(members)
+    keys = bounded(cut(members.select("version").distinct()), nd.MOST_BROADCAST)
+    grams = docs.select("version", "text").join(keys, "version", "left_semi").select("text").mapInArrow(tk.frugal(_grams(wanted)), "one bigint, two bigint, grams binary")
+    sets = grams.groupBy("one", "two").agg(F.first("grams").alias("grams")).join(members.hint("merge"), ["one", "two"])
+    hexed = lambda c: F.lpad(F.hex(c), 16, "0")
+    sets = sets.select(F.unhex(F.concat(hexed(F.col("one")), hexed(F.col("two")))).alias("digest"), "times", "root", "grams", F.lit(None).cast("binary").alias("sig"))
+    linked = nd.links(sets, 0, threshold)
     linked = linked.select(_number(F.col("digest"), 1).alias("one"), _number(F.col("digest"), 9).alias("two"), _number(F.col("root"), 1).alias("r1"), _number(F.col("root"), 9).alias("r2"))
-    told = many.join(linked, ["one", "two"], "full").select("one", "two", F.coalesce("r1", "one").alias("r1"), F.coalesce("r2", "two").alias("r2"))
-    found = cut(every.join(cut(told).hint("merge"), ["one", "two"]).select("doc_id", "version", "lo", "hi", "r1", "r2"))
+    told = cut(many.join(linked, ["one", "two"], "full").select("one", "two", F.coalesce("r1", "one").alias("r1"), F.coalesce("r2", "two").alias("r2")))
+    found = every.join(bounded(cut(told.select("one").distinct()), nd.MOST_BROADCAST), "one", "left_semi")
+    found = cut(found.join(told.hint("merge"), ["one", "two"]).select("doc_id", "version", "lo", "hi", "r1", "r2"))
     firsts = cut(found.groupBy("r1", "r2").agg(F.min(F.struct("doc_id", "lo", "version")).alias("first"), F.min("doc_id").alias("class_id")))
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.lo") == F.col("lo")) & (F.col("first.version") == F.col("version"))
     return found.join(firsts.hint("merge"), ["r1", "r2"]).select("doc_id", "version", "lo", "hi", "class_id", (~same).alias("removed"))
