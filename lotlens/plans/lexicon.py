@@ -172,7 +172,7 @@ def synonym_tier(t: Tables) -> DataFrame:
     return lx.with_synonyms(found, d, k, vectors, "item_id", "firm", "word", bar=0.9)
 
 
-_TRADES = [("tion", ["tion", "sion"], ["ationen"]), ("ung", ["ung", "keit"], []), ("the", ["the "], ["xx"]), ("none", ["zzzz"], [])]
+_TRADES = [("en", ["en"], ["enen"]), ("ung", ["ung", "tion"], []), ("th", ["th", "qu"], ["thth"]), ("none", ["zzzz"], [])]
 
 
 @query(
