@@ -11,7 +11,7 @@ paragraph.
 
 Paragraphs whose 5-word shingles have a Jaccard similarity of 0.8 or more are
 linked (bands of ``ROWS`` minima find the candidates, ``near_dup`` verifies the
-pairs of a candidate group exactly), links are joined into components, and of
+pairs of each band exactly), links are joined into components, and of
 each component the first paragraph (smallest doc_id, then place) stays. Equal
 sets are one class before any pair is compared. A set too small to reach the
 threshold with any other set has no bands: it is matched exactly. Paragraphs of
@@ -37,7 +37,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import near_dup as nd, textkit as tk
 from .cluster import bounded, cut, small_batches
-from .graph import components
 
 K, BANDS, ROWS = 5, 4, 2
 REACH, LONGEST = 8, 64
@@ -163,16 +162,19 @@ def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     banded = rows.select(F.inline(F.arrays_zip(F.col("bands").alias("band"), held.alias("node")))).filter("band IS NOT NULL")
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far").select("band", "hub")
     hubs = bounded(cut(hubs), nd.MOST_BROADCAST)
-    near = cut(components(banded.join(hubs, "band").select(F.col("node").alias("u"), F.col("hub").alias("v"))))
+    # Pairs are compared within a band: components of bands would chain through passages that share a phrase only.
+    stars = cut(banded.join(hubs, "band").select("node", "band").distinct())
+    near = cut(stars.select("node").distinct())
     few = near.count() <= nd.MOST_BROADCAST
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(near.select("node").toArrow().column("node").to_numpy())) if few else None
-    members = every.join(F.broadcast(near) if few else near, every["one"] == near["node"]).groupBy("one", "two", "root").agg(F.count(F.lit(1)).alias("times"), F.min("version").alias("version"))
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(near.toArrow().column("node").to_numpy())) if few else None
+    members = every.join(F.broadcast(near) if few else near, every["one"] == near["node"]).groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), F.min("version").alias("version"))
     members = cut(members)
     keys = bounded(cut(members.select("version").distinct()), nd.MOST_BROADCAST)
     grams = docs.select("version", "text").join(keys, "version", "left_semi").select("text").mapInArrow(tk.frugal(_grams(wanted)), "one bigint, two bigint, grams binary")
     sets = grams.groupBy("one", "two").agg(F.first("grams").alias("grams")).join(members.hint("merge"), ["one", "two"])
     hexed = lambda c: F.lpad(F.hex(c), 16, "0")
-    sets = sets.select(F.unhex(F.concat(hexed(F.col("one")), hexed(F.col("two")))).alias("digest"), "times", "root", "grams", F.lit(None).cast("binary").alias("sig"))
+    sets = sets.join(stars.hint("merge"), sets["one"] == stars["node"])
+    sets = sets.select(F.unhex(F.concat(hexed(F.col("one")), hexed(F.col("two")))).alias("digest"), "times", F.col("band").alias("root"), "grams", F.lit(None).cast("binary").alias("sig"))
     linked = nd.links(sets, 0, threshold)
     linked = linked.select(_number(F.col("digest"), 1).alias("one"), _number(F.col("digest"), 9).alias("two"), _number(F.col("root"), 1).alias("r1"), _number(F.col("root"), 9).alias("r2"))
     told = cut(many.join(linked, ["one", "two"], "full").select("one", "two", F.coalesce("r1", "one").alias("r1"), F.coalesce("r2", "two").alias("r2")))
