@@ -200,14 +200,14 @@ def _compare(width: int, threshold: float) -> Callable:
     return run
 
 
-def links(members: DataFrame, width: int, threshold: float = THRESHOLD) -> DataFrame:
+def links(members: DataFrame, width: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(digest, links, root) over ``members`` (digest, times, root, grams, sig): the classes with verified links.
 
     root is the smallest digest of the class's component.
     """
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    size = bounded(cut(size.filter(F.col("size") > BLOCK)), MOST_BROADCAST)
-    placed = members.join(size, "root", "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / F.lit(BLOCK)).cast("int"))
+    size = bounded(cut(size.filter(F.col("size") > block)), MOST_BROADCAST)
+    placed = members.join(size, "root", "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / F.lit(block)).cast("int"))
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     paired = placed.select("root", "digest", "times", "grams", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "digest", "times", "grams", "sig")

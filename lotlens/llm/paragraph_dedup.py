@@ -40,6 +40,8 @@ from .cluster import bounded, cut, small_batches
 
 K, BANDS, ROWS = 5, 4, 2
 REACH, LONGEST = 8, 64
+#: Members of a block: paragraphs are small, so larger blocks than those of documents save copies of a hot band.
+BLOCK = 192
 
 
 def cuts(words: np.ndarray, first: np.ndarray, reach: int = REACH, longest: int = LONGEST) -> np.ndarray:
@@ -175,7 +177,7 @@ def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     hexed = lambda c: F.lpad(F.hex(c), 16, "0")
     sets = sets.join(stars.hint("merge"), sets["one"] == stars["node"])
     sets = sets.select(F.unhex(F.concat(hexed(F.col("one")), hexed(F.col("two")))).alias("digest"), "times", F.col("band").alias("root"), "grams", F.lit(None).cast("binary").alias("sig"))
-    linked = nd.links(sets, 0, threshold)
+    linked = nd.links(sets, 0, threshold, BLOCK)
     linked = linked.select(_number(F.col("digest"), 1).alias("one"), _number(F.col("digest"), 9).alias("two"), _number(F.col("root"), 1).alias("r1"), _number(F.col("root"), 9).alias("r2"))
     told = cut(many.join(linked, ["one", "two"], "full").select("one", "two", F.coalesce("r1", "one").alias("r1"), F.coalesce("r2", "two").alias("r2")))
     found = every.join(bounded(cut(told.select("one").distinct()), nd.MOST_BROADCAST), "one", "left_semi")
