@@ -33,3 +33,11 @@ def test_noise_floor(vectors):
     assert math.isclose(got["mean"], want["mean"], abs_tol=1e-12) and math.isclose(got["p95"], want["p95"], abs_tol=1e-12)
     none = pr.noise_floor(vectors.filter("id < 0"), vectors, "id", "label", "id", "label", "v").first()
     assert tuple(none) == (None, None, 0, None)
+
+
+def test_bar_table(vectors):
+    rows, bars = _pairs(vectors), [0.2, 0.6, 1.0]
+    got = pr.bar_table(vectors, vectors, "id", "label", "id", "label", "v", bars)
+    assert "Join" not in got._jdf.queryExecution().toString()  # no row for a pair
+    want = vc.bar_table(rows.filter("a = b"), rows.filter("a <> b"), "id", "cos", bars)
+    assert [tuple(r) for r in got.orderBy("bar").collect()] == [tuple(r) for r in want.orderBy("bar").collect()]
