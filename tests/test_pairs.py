@@ -41,3 +41,10 @@ def test_bar_table(vectors):
     assert "Join" not in got._jdf.queryExecution().toString()  # no row for a pair
     want = vc.bar_table(rows.filter("a = b"), rows.filter("a <> b"), "id", "cos", bars)
     assert [tuple(r) for r in got.orderBy("bar").collect()] == [tuple(r) for r in want.orderBy("bar").collect()]
+
+
+def test_consensus(vectors):
+    rows = _pairs(vectors).filter("cos >= 0.2").select(F.col("a").alias("label"), "id", "ref", "cos")
+    want = rows.groupBy("label", "ref").agg(F.count_distinct("id").alias("refs"), F.max("cos").alias("best")).collect()
+    got = pr.consensus(vectors.union(vectors), vectors, "id", "label", "id", "v", 0.2)  # a key twice counts once
+    assert {tuple(r) for r in got.select("label", "id", "refs", "best").collect()} == {tuple(r) for r in want}
