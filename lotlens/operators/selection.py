@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as fn
+from ..lineage import cut
+
+#: Most rows of best lots whose keys are broadcast.
+SHORT = 1_000_000
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | Column, name: str = "rank") -> DataFrame:
@@ -31,8 +35,13 @@ def for_subscriptions(lots: DataFrame, subs: DataFrame, sub: str, score: str, ti
 
 def merged_picks(lots: DataFrame, wanted: DataFrame, company: str, trade: str, score: str, tie: str, n: int, seen: DataFrame) -> DataFrame:
     """A company's best n over all its trades; lots already picked take a slot but are not given again."""
-    met = lots.join(wanted.select(company, trade).distinct(), trade).dropDuplicates([company, tie])
-    return top_k(met, [company], [F.desc(score), F.col(tie)], n, "slot").join(seen.select(company, tie), [company, tie], "left_anti")
+    order = [F.desc(score), F.col(tie)]
+    # What is not among the best n lots of a trade is not among those of a company with that trade.
+    best = cut(top_k(lots.dropDuplicates([trade, tie]), [trade], order, n, "slot").drop("slot"))
+    ties = best.select(tie).distinct()
+    known = seen.join(F.broadcast(ties) if best.count() <= SHORT else ties, tie, "left_semi").select(company, tie)
+    met = best.join(wanted.select(company, trade).distinct(), trade).dropDuplicates([company, tie])
+    return top_k(met, [company], order, n, "slot").join(known, [company, tie], "left_anti")
 
 
 def own_win(wins: DataFrame, firm: str, tenders: str, date: str, tie: str) -> DataFrame:
