@@ -200,10 +200,10 @@ def _compare(width: int, threshold: float) -> Callable:
     return run
 
 
-def links(members: DataFrame, width: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(digest, links, root) over ``members`` (digest, times, root, grams, sig): the classes with verified links.
+def pairs(members: DataFrame, width: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(digest, links, root) over ``members`` (digest, times, root, grams, sig): what each two blocks of a root tell of their linked classes.
 
-    root is the smallest digest of the class's component.
+    root is the smallest digest that they link the class to.
     """
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     size = bounded(cut(size.filter(F.col("size") > block)), MOST_BROADCAST)
@@ -212,8 +212,15 @@ def links(members: DataFrame, width: int, threshold: float = THRESHOLD, block: i
     paired = placed.select("root", "digest", "times", "grams", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "digest", "times", "grams", "sig")
     keys = ["root", "low", "high"]
-    found = paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tk.frugal(_compare(width, threshold)), "digest binary, links bigint, root binary")
-    found = cut(found)
+    return paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tk.frugal(_compare(width, threshold)), "digest binary, links bigint, root binary")
+
+
+def links(members: DataFrame, width: int, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(digest, links, root) over ``members`` (digest, times, root, grams, sig): the classes with verified links.
+
+    root is the smallest digest of the class's component.
+    """
+    found = cut(pairs(members, width, threshold, block))
     group = components(found.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     total = found.groupBy("digest").agg(F.sum("links").alias("links"))
     return total.join(group, total["digest"] == group["node"]).select("digest", "links", group["root"])

@@ -17,6 +17,16 @@ sets are one class before any pair is compared. A set too small to reach the
 threshold with any other set has no bands: it is matched exactly. Paragraphs of
 fewer than ``K`` words have one shingle, so all their words are matched.
 
+A band of more than ``HOT`` paragraphs, as a common phrase makes it, is not compared
+in all pairs. A shingle of one paragraph alone is in no intersection, so the others
+say all of it but the sizes: paragraphs of one size and with equal others are one
+class, linked alike to everything in the band. Classes are dealt out again by the
+rarest shingles of each: two sets of a and b shingles that reach the threshold t
+share t * max(a, b) of them, so in any order they share one of the first
+a - ceil(t * a) + 1 of a and as many of b. No link is lost by that, and groups that
+are still hot are dealt out the same way, ``LEVELS`` times; what is hot after that is
+compared in all pairs.
+
 Bands: 4 of 2 minima, tuned for recall: a pair at 0.8 exactly misses all of
 them with probability 1.7 %, one at 0.9 with 0.1 %; equal sets never.
 
@@ -37,11 +47,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import near_dup as nd, textkit as tk
 from .cluster import bounded, cut, small_batches
+from .graph import components
 
 K, BANDS, ROWS = 5, 4, 2
 REACH, LONGEST = 8, 64
 #: Members of a block: paragraphs are small, so larger blocks than those of documents save copies of a hot band.
 BLOCK = 192
+#: Members of a band that are compared in all pairs, and how often a larger band is dealt out again.
+HOT, LEVELS = 64, 3
 
 
 def cuts(words: np.ndarray, first: np.ndarray, reach: int = REACH, longest: int = LONGEST) -> np.ndarray:
@@ -140,6 +153,49 @@ def _grams(wanted: Broadcast | None) -> Callable:
     return run
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of the members of hot bands."""
+    for b in batches:
+        data, off = tk.buffers(b.column("grams"))
+        size = np.diff(off) // 8
+        k = pa.array(np.repeat(np.arange(len(size)), size))
+        held = [b.column("root").take(k), b.column("digest").take(k), pa.array(np.repeat(size, size).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*held, pa.array(np.frombuffer(data.tobytes(), np.int64))], names=["root", "digest", "size", "gram"])
+
+
+def _edges(members: DataFrame, threshold: float, level: int = 0) -> DataFrame:
+    """(u, v): edges with the components of all pairs of one root that reach the threshold.
+
+    ``members``: root, digest, times, grams, sig, one row of a digest and root. Nodes are
+    digests, and digests of classes that stand for their members.
+    """
+    compared = lambda rows: nd.pairs(rows, 0, threshold, BLOCK).select(F.col("digest").alias("u"), F.col("root").alias("v"))
+    hot = cut(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("root"))
+    if level == LEVELS or hot.isEmpty():
+        return compared(members)
+    hot = bounded(hot, nd.MOST_BROADCAST)
+    within = members.join(hot, "root", "left_semi").select("root", "digest", "grams")
+    each = within.mapInArrow(tk.frugal(_shingled), "root bigint, digest binary, size int, gram bigint")
+    often = each.groupBy("root", "gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = each.join(often.hint("merge"), ["root", "gram"]).groupBy("root", "digest").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("shared"))
+    need = F.ceil(F.col("size") * threshold - 1e-6)
+    shared = shared.filter(F.size("shared") >= need)
+    name = F.concat_ws(" ", "root", "size", F.transform("shared", lambda x: x["gram"].cast("string")))
+    known = cut(shared.withColumn("class", F.unhex(F.md5(name.cast("binary")))))
+    classes = known.groupBy("class").agg(*[F.first(c).alias(c) for c in ("root", "size", "shared")], F.min("digest").alias("digest"), F.count(F.lit(1)).alias("times"))
+    classes = cut(classes)
+    # A shingle that only the class has meets no other.
+    first = F.filter(F.slice("shared", F.lit(1), (F.size("shared") - need + 1).cast("int")), lambda x: x["n"] > F.col("times"))
+    groups = F.array_distinct(F.transform(first, lambda x: F.xxhash64("root", x["gram"])))
+    dealt = classes.select("root", "digest", "class", F.explode(groups).alias("group")).join(within.hint("merge"), ["root", "digest"])
+    dealt = cut(dealt.select(F.col("group").alias("root"), F.col("class").alias("digest"), F.lit(1).cast("bigint").alias("times"), "grams", F.lit(None).cast("binary").alias("sig")))
+    found = cut(_edges(dealt, threshold, level + 1))
+    alike = classes.filter((F.col("times") > 1) & (F.size("shared") * (1 + threshold) >= 2 * threshold * F.col("size") - 1e-9)).select("class")
+    linked = alike.union(found.select("u")).distinct()
+    held = known.select("digest", "class").join(linked, "class").select("digest", "class")
+    return compared(members.join(hot, "root", "left_anti")).union(found).union(held)
+
+
 def _number(digest: Column, at: int) -> Column:
     """Eight bytes of a digest as a number."""
     return F.conv(F.hex(F.substring(digest, at, 8)), 16, -10).cast("bigint")
@@ -177,8 +233,9 @@ def repeats(docs: DataFrame, threshold: float = nd.THRESHOLD) -> DataFrame:
     hexed = lambda c: F.lpad(F.hex(c), 16, "0")
     sets = sets.join(stars.hint("merge"), sets["one"] == stars["node"])
     sets = sets.select(F.unhex(F.concat(hexed(F.col("one")), hexed(F.col("two")))).alias("digest"), "times", F.col("band").alias("root"), "grams", F.lit(None).cast("binary").alias("sig"))
-    linked = nd.links(sets, 0, threshold, BLOCK)
-    linked = linked.select(_number(F.col("digest"), 1).alias("one"), _number(F.col("digest"), 9).alias("two"), _number(F.col("root"), 1).alias("r1"), _number(F.col("root"), 9).alias("r2"))
+    # One paragraph in several groups is compared in each; classes of hot bands are nodes too, and meet no paragraph below.
+    linked = components(_edges(cut(sets), threshold))
+    linked = linked.select(_number(F.col("node"), 1).alias("one"), _number(F.col("node"), 9).alias("two"), _number(F.col("root"), 1).alias("r1"), _number(F.col("root"), 9).alias("r2"))
     told = cut(many.join(linked, ["one", "two"], "full").select("one", "two", F.coalesce("r1", "one").alias("r1"), F.coalesce("r2", "two").alias("r2")))
     found = every.join(bounded(cut(told.select("one").distinct()), nd.MOST_BROADCAST), "one", "left_semi")
     found = cut(found.join(told.hint("merge"), ["one", "two"]).select("doc_id", "version", "lo", "hi", "r1", "r2"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotlens.llm import chat_format, decontaminate, html_text, jaccard_join, paragraph_dedup, pieces, quality_model, quality_rules, queries, url_filter
+from lotlens.llm import chat_format, decontaminate, html_text, jaccard_join, near_dup, paragraph_dedup, pieces, quality_model, quality_rules, queries, url_filter
 from lotlens.llm.cluster import cut
 from lotlens.llm.graph import components
 
@@ -380,6 +380,40 @@ def test_paragraphs_match_brute_force(spark):
     assert {r.doc_id: r.text for r in paragraph_dedup.clean(table(spark, texts)).collect()} == {d: x[3] for d, x in want.items()}
 
 
+@pytest.mark.parametrize("levels", [1, 3])
+def test_paragraphs_of_hot_bands_match_brute_force(spark, monkeypatch, levels):
+    monkeypatch.setattr(paragraph_dedup, "HOT", 2)
+    monkeypatch.setattr(paragraph_dedup, "LEVELS", levels)
+    test_paragraphs_match_brute_force(spark)
+
+
+def test_band_of_a_common_phrase_is_not_compared_in_all_pairs(spark, monkeypatch):
+    """Rows of members that are compared: as many as a few for each member, whatever a band holds."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    phrase = words(11)
+    texts = [" ".join(phrase + words(5)) for _ in range(1200)]  # one paragraph each, 7 of 12 shingles in common
+    texts += [" ".join(phrase[:9] + [f"u{k}"]) for k in range(300)]  # 5 of 6 shingles in common
+    rows, compare = spark.sparkContext.accumulator(0), near_dup._compare
+
+    def counted(*args):
+        run = compare(*args)
+
+        def each(batches):
+            def told():
+                for b in batches:
+                    rows.add(b.num_rows)
+                    yield b
+
+            yield from run(told())
+
+        return each
+
+    monkeypatch.setattr(near_dup, "_compare", counted)
+    got = paragraph_dedup.measure(table(spark, texts)).collect()
+    assert all(r.n_repeated == 0 for r in got) and rows.value <= 2 * len(got)
+
+
 def test_passages_are_caught_within_and_across_lines(spark):
     rng = np.random.default_rng(7)
     text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(n))
