@@ -54,16 +54,29 @@ BATCH = 1 << 19
 #: Most rows of keys (8 bytes each) that are broadcast; beyond that both sides are shuffled.
 MOST_BROADCAST = 1_000_000
 
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_FULL, _HIGH, _ODD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFF00000000), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _ranked(d: np.ndarray, gram: int) -> np.ndarray:
+    """A number for each gram, the same wherever it stands: 32 hashed bits, then its place. They rank only, so they are mixed little."""
+    out = np.empty(len(d) - gram + 1, np.uint64)
+    for low in range(0, len(out), tk.CHUNK_BYTES):
+        h = out[low : low + tk.CHUNK_BYTES]
+        run = tk.running(d[low : low + len(h) + gram - 1])
+        np.subtract(run[gram:], run[:-gram], out=h)
+        h *= tk.unshifted(len(h))
+        h ^= h >> np.uint64(32)
+        h *= _ODD
+    out &= _HIGH
+    out |= np.arange(len(out), dtype=np.uint64)
+    return out
 
 
 def anchors(d: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Place of the anchor of the string at each start."""
     n = len(d)
-    at = np.arange(n - gram + 1)
-    h = tk.rough_hashes(d, at, at + gram)
+    key = _ranked(d, gram)
     width = length - gram + 1
-    key = (h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
     padded = np.full(-(-len(key) // width) * width, _FULL, np.uint64)
     padded[: len(key)] = key
     rows = padded.reshape(-1, width)
@@ -71,7 +84,7 @@ def anchors(d: np.ndarray, length: int, gram: int) -> np.ndarray:
     behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
     starts = n - length + 1
     least = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
-    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return (least & np.uint64(0xFFFFFFFF)).view(np.int64)
 
 
 def pieces(d: np.ndarray, o: np.ndarray, length: int, block: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -81,15 +94,22 @@ def pieces(d: np.ndarray, o: np.ndarray, length: int, block: int, gram: int = GR
     if not count.any():
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
-    doc = np.repeat(np.arange(len(size)), count)
-    start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + o[doc]
-    anchor = anchors(d, length, gram)[start]
-    part = (anchor - start) // block
-    new = np.ones(len(doc), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
+    anchor = anchors(d, length, gram)
+    total = len(anchor)
+    blocks = (np.arange(length - gram + 1) // block).astype(np.int16)
+    part = blocks[anchor - np.arange(total)]
+    new = np.ones(total + 1, bool)
+    new[1:total] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
+    # A document's starts begin with a piece, and one that is none closes the last.
+    some = count > 0
+    new[o[:-1][some]] = new[o[:-1][some] + count[some]] = True
     first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(doc)))
-    lo, doc, anchor, part = start[first], doc[first], anchor[first], part[first]
+    n = np.diff(first)
+    first = first[:-1]
+    doc = np.searchsorted(o, first, "right") - 1
+    held = first - o[doc] < count[doc]
+    lo, n, doc = first[held], n[held], doc[held]
+    anchor, part = anchor[lo], part[lo].astype(np.int64)
     near = np.minimum((part + 1) * block - 1, length - gram)
     key = tk.mix(tk.rough_hashes(d, anchor - part * block, anchor - near + length) + part.astype(np.uint64))
     span = tk.span_hashes(d, lo, lo + n - 1 + length)
@@ -118,13 +138,18 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     wide = np.int64(s.max()) + 1
-    t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
+    symbols = 7 if wide <= 512 else 3  # as many as fit into 63 bits; triples of longer names have the order of the suffixes too
+    t = np.concatenate([s.astype(np.int64), np.zeros(symbols, np.int64)])
     place = np.arange(n + (n % 3 == 1))  # one more sampled start closes the first class
     sample = np.concatenate([place[1::3], place[2::3]])
-    triple = (t[sample] * wide + t[sample + 1]) * wide + t[sample + 2]
-    order = np.argsort(triple, kind="stable")
+    runs = t[: len(t) - symbols + 1]
+    for k in range(1, symbols):
+        runs = runs * wide + t[k : k + len(runs)]
+    triple = runs[sample]
+    order = np.argsort(triple)
     new = np.ones(len(order), np.int64)
-    new[1:] = triple[order][1:] != triple[order][:-1]
+    triple = triple[order]
+    new[1:] = triple[1:] != triple[:-1]
     name = np.empty(len(order), np.int64)
     name[order] = np.cumsum(new)
     if name.max() < len(name):
@@ -135,7 +160,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
     high = np.int64(len(order)) + 2
-    rest = rest[np.argsort(t[rest] * high + rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(t[rest] * high + rank[rest + 1])]  # all differ
     # A remaining suffix against a sampled one: by one symbol and a rank, or by two and a rank.
     one = sampled % 3 == 1
     before = np.empty(len(sampled), np.int64)

@@ -64,6 +64,32 @@ def test_suffix_array():
             assert sd.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_array_names_by_seven_bytes(monkeypatch):
+    """Bytes that differ within seven symbols need no recursion; longer names, of more symbols, are still sorted by threes."""
+    r, sort, calls = random.Random(4), sd.suffix_array, []
+    monkeypatch.setattr(sd, "suffix_array", lambda s: calls.append(len(s)) or sort(s))
+    for n in (2000, 2001, 2002):
+        s = np.array([r.randint(1, 20) for _ in range(n)], np.int64)
+        assert sd.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+    assert calls == [2000, 2001, 2002]
+    s = np.array([r.randint(1, 600) for _ in range(50)] * 4, np.int64)
+    assert sd.suffix_array(s).tolist() == sorted(range(200), key=lambda i: s[i:].tolist())
+
+
+def test_pieces_hold_every_start_once_and_equal_strings_share_buckets(monkeypatch):
+    monkeypatch.setattr(sd.tk, "CHUNK_BYTES", 300)  # grams are ranked alike across chunks
+    r = random.Random(6)
+    take = lambda n: bytes(r.choices(b"ab c", k=n))
+    shared = take(150)
+    docs = [take(r.choice([0, 5, 39, 40, 41, 900])) + shared * r.randint(0, 1) + take(r.choice([0, 3, 60])) for _ in range(60)]
+    d, o = np.frombuffer(b"".join(docs), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    for block in (1, 3, 9):
+        doc, lo, n, key, _ = sd.pieces(d, o, 40, block, 16)
+        at = [(a, b + i, k) for a, b, c, k in zip(*(x.tolist() for x in (doc, lo, n, key)), strict=True) for i in range(c)]
+        assert [x[:2] for x in at] == [(k, i) for k, x in enumerate(docs) for i in range(len(x) - 39)]
+        assert len({(docs[a][b : b + 40], k) for a, b, k in at}) == len({docs[a][b : b + 40] for a, b, _ in at})
+
+
 def test_measure_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(sd, "MOST", 96)
     texts = corpus()
