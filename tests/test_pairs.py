@@ -3,8 +3,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lotlens import plans
 from lotlens.operators import pairs as pr, vectors as vc
 
+from .oracle import connect, of_spark, of_sql
+
 ROWS = [
     (1, "a", [1.0, 0.0]), (2, "a", [0.6, 0.8]), (3, "b", [0.8, 0.6]), (4, "b", [-1.0, 0.5]), (5, None, [1.0, 1.0]), (6, "b", None),
     (7, "a", [0.0, 0.0]), (8, "b", [1.0, 2.0, 3.0]), (9, "a", [1.0, None]), (20, "a", [0.3, 0.4]), (40, "b", [2.0, 1.0]), (60, "a", [3.0, 1.0]),
@@ -48,3 +51,19 @@ def test_consensus(vectors):
     want = rows.groupBy("label", "ref").agg(F.count_distinct("id").alias("refs"), F.max("cos").alias("best")).collect()
     got = pr.consensus(vectors.union(vectors), vectors, "id", "label", "id", "v", 0.2)  # a key twice counts once
     assert {tuple(r) for r in got.select("label", "id", "refs", "best").collect()} == {tuple(r) for r in want}
+
+
+@pytest.fixture
+def whole(spark, tmp_path):
+    """Forty vectors of three labels, one id of which is divisible by 20; the query and its SQL in DuckDB."""
+    rows = [(i, i % 3, [math.cos(i * i), math.sin(i * i), 0.5 * math.cos(3 * i)]) for i in range(1, 40)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("region nation customer supplier part orders lineitem events documents pages benchmark labels conversations").split():
+        spark.createDataFrame([(1,)], "x int").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    return lambda name: (of_spark(plans.QUERIES[name](spark, str(tmp_path))), of_sql(connect(str(tmp_path)), plans.SQL[name]))
+
+
+def test_noise_floor_asks_every_vector(whole):
+    got, want = whole("noise_floor")
+    assert got == want
+    assert dict(zip(got[0], got[1][0], strict=True))["pairs"] == 39 * 26  # 13 vectors of each label
