@@ -67,3 +67,17 @@ def test_noise_floor_asks_every_vector(whole):
     got, want = whole("noise_floor")
     assert got == want
     assert dict(zip(got[0], got[1][0], strict=True))["pairs"] == 39 * 26  # 13 vectors of each label
+
+
+def test_soft_fingerprint_asks_every_vector(whole):
+    got, want = whole("soft_fingerprint")
+    assert got == want
+    assert len(got[1]) == 3 * 8  # a single asked vector gives no reference of two
+
+
+def test_consensus_of_long_keys(spark):
+    """Keys need not fit the type of the groups."""
+    far = 1 << 40
+    rows = spark.createDataFrame([(far + i, i % 2, [1.0, float(i)]) for i in range(4)], "id long, label int, v array<double>")
+    got = pr.consensus(rows, rows, "id", "label", "id", "v", -1.0)
+    assert {tuple(r)[:3] for r in got.select("label", "id", "refs").collect()} == {(g, far + i, 1 if i % 2 == g else 2) for g in range(2) for i in range(4)}
