@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,9 @@ def test_consensus_of_long_keys(spark):
     rows = spark.createDataFrame([(far + i, i % 2, [1.0, float(i)]) for i in range(4)], "id long, label int, v array<double>")
     got = pr.consensus(rows, rows, "id", "label", "id", "v", -1.0)
     assert {tuple(r)[:3] for r in got.select("label", "id", "refs").collect()} == {(g, far + i, 1 if i % 2 == g else 2) for g in range(2) for i in range(4)}
+
+
+def test_raw_is_the_least_cosine_of_its_parts():
+    for k in [0, 1, 2, -1, -2, pr.ONE, 200_000_000, 199_999_999, *range(123_456_700, 123_456_720)]:
+        x = pr._raw(k)
+        assert np.rint(x * pr.ONE) >= k > np.rint(np.nextafter(x, -2) * pr.ONE)
